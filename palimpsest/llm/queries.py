@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.archive import OP9_SQL, op9_warc
+from palimpsest.llm.line_dedup import OP1_SQL, op1_line_dedup
+from palimpsest.llm.near_dedup import OP8_SQL, op8_near_dedup
 from palimpsest.llm.packing import op10_packing
+from palimpsest.llm.secrets import OP7_SQL, op7_secret_scan
 from palimpsest.llm.token_files import op6_token_files
 
-QUERIES = {"op6_token_files": op6_token_files, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op6_token_files": op6_token_files,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_warc": op9_warc,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op7_secret_scan": OP7_SQL,
+    "op8_near_dedup": OP8_SQL,
+    "op9_warc": OP9_SQL,
+}
