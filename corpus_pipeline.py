@@ -2,9 +2,68 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import language, line_dedup, mixing, near_dedup, packing
+from palimpsest.llm.shared import Workspace, fresh, lookup_join
+from palimpsest.llm.token_files import tokenizer_file
+
+#: A document goes if no language is found in it, or with less than this score.
+MIN_SCORE = 0.4
+#: Near-duplicates share at least this percentage of their shingles; bytes of two sketches that then agree at least.
+PERCENT, SKETCH_EQUAL = 80, 82
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which a language is found; learned from those that have a label."""
+    found = language.predict(docs, language.fit(docs), [F.col(f"`{c}`") for c in docs.columns])
+    pred, score = found.columns[-2:]
+    return found.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their sites' boilerplate lines; n_chars follows the text."""
+    cut = line_dedup.drop_boilerplate(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the least id; of repeated rows one."""
+    ws = Workspace(spark)
+    found = near_dedup.near_duplicates(docs, percent=PERCENT, equal=SKETCH_EQUAL)
+    gone = ws.table(found.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "gone")
+    key = fresh(docs, "text_hash")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    kept = lookup_join(rows, gone.withColumnRenamed("text_hash", key), ["doc_id", key], "left_anti")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents sampled by raked weights of source, language and form."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in a packed sequence, with its ids."""
+    return packing.pack_documents(docs, tokenizer_file(), end_id=1)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: Language identification and the packer's cuts have no SQL; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
+    ws = Workspace(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = ws.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
