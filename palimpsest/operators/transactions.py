@@ -95,8 +95,9 @@ class Transaction:
 
     def commit(self) -> int:
         """Stamps the writes with the next csn, or raises Conflict if another commit changed their rows since."""
+        since = self.relation.versions.where(F.col("_end_csn").isNull() | (F.col("_end_csn") >= self.first_csn))
         for w in self.staged:
-            bad = write_verdicts(w.where("op <> 'INSERT'").select("_rid"), self.relation.versions, Snapshot(self.first_csn, self.xid, 0)).where("verdict in ('updated', 'deleted')")
+            bad = write_verdicts(w.where("op <> 'INSERT'").select("_rid"), since, Snapshot(self.first_csn, self.xid, 0)).where("verdict in ('updated', 'deleted')")
             if not bad.isEmpty():
                 self.abort()
                 raise Conflict("a row has changed since the transaction began")
