@@ -42,6 +42,15 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     return _powers[inverse][:n]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever it stands; A-Z hash as a-z."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * _power(len(data), False), out=sums[1:])
+    return mix((sums[stops] - sums[starts]) * _power(len(data) + 1, True)[starts])
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(a 64-bit hash of each lower-cased word, the number of words of each text); null texts have none."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -57,10 +66,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
     starts = np.nonzero(inside & (before | edge[:-1]))[0]
     stops = np.nonzero(inside & (after | edge[1:]))[0] + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * _power(len(data), False), out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * _power(len(data) + 1, True)[starts] if len(starts) else np.zeros(0, np.uint64))
-    return hashes, np.diff(np.searchsorted(starts, ends))
+    return span_hashes(data, starts, stops), np.diff(np.searchsorted(starts, ends))
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 from collections.abc import Iterable
 
-#: Longer words and pieces are encoded but not remembered.
-LONGEST_WORD = 48
-#: Letters that the vocabulary's normaliser only lower-cases, one by one.
-PLAIN_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+import numpy as np
+
+from palimpsest.llm.shingles import span_hashes
+
+#: Kinds of bytes: white space that only parts words, letters, digits, signs, and all others.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
 #: ASCII signs of which a run is one piece; not the apostrophe and < that begin contractions and special tokens.
-PLAIN_SIGNS = r"!-&(-/:;=>?@\[-`{-~"
-PLAIN_WORD = re.compile(f"[{PLAIN_LETTERS}0-9{PLAIN_SIGNS}]*")
-PIECE = re.compile(f"[{PLAIN_LETTERS}]+|[0-9]|[{PLAIN_SIGNS}]+")
+PLAIN_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[32, 10]] = SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[48:58] = DIGIT
+_KIND[[ord(c) for c in PLAIN_SIGNS]] = SIGN
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Latin-1 letters are this byte and one that follows; of those the two signs × and ÷ aren't letters.
+_LEAD, _NO_LETTERS = 0xC3, (0x97, 0xB7)
 
 
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library, remembering what it gave for words.
+    """Encodes whole texts with the tokenizers library, remembering what it gave for pieces of words.
 
     For vocabularies that drop white space and split letters, digits and signs before they merge
-    (word_bpe_49k): a text's ids are then its words' ids in order, and a plain word's ids those of
-    its runs of letters or signs. Other words pass through the whole tokenizer. Both memories are
-    emptied when they are full, so they stay bounded.
+    (word_bpe_49k): a text's ids are then its words' ids in order, and a plain word's ids those of its
+    runs of letters or signs and of its digits. Plain letters are those that the normaliser lower-cases
+    one by one; a word with anything else passes through the whole tokenizer as one piece. Pieces are
+    found and looked up by 64-bit hash for a batch of texts at once; the memory is emptied when it is full.
     """
 
-    def __init__(self, path: str, words: int = 600_000, pieces: int = 1_200_000):
+    def __init__(self, path: str, pieces: int = 1_000_000, pool_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -33,45 +43,81 @@ class WordEncoder:
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.most = (words, pieces)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, tokenizer, texts: list[str]) -> dict[str, bytes]:
-        from array import array
-
-        found = {}
-        for at in range(0, len(texts), 20_000):
-            part = texts[at : at + 20_000]
-            found.update((t, array("I", e.ids).tobytes()) for t, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return found
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = {w: PIECE.findall(w.lower()) for w in new if PLAIN_WORD.fullmatch(w)}
-        if len(self.pieces) > self.most[1]:
-            self.pieces.clear()
-        known = self.pieces
-        missing = list({p for ps in plain.values() for p in ps if p not in known})
-        known.update(self._library(self.merges, missing))
-        found = {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in plain.items()}
-        for p in missing:
-            if len(p) > LONGEST_WORD:
-                del known[p]
-        return found | self._library(self.whole, [w for w in new if w not in plain])
+        self.most = (pieces, pool_ids)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _pieces(self, data: np.ndarray):
+        """(starts, stops, lower-cased bytes, whether odd) of all pieces."""
+        lower, kind = _LOWER[data], _KIND[data]
+        lead = np.nonzero(data[:-1] == _LEAD)[0]
+        if len(lead):
+            follow = data[lead + 1]
+            lead = lead[(follow != _NO_LETTERS[0]) & (follow != _NO_LETTERS[1])]
+            kind[lead] = kind[lead + 1] = LETTER
+            upper = lead[data[lead + 1] < 0x9F] + 1
+            lower[upper] += 32
+        if (kind == OTHER).any():  # the whole word is one odd piece
+            word = np.cumsum(kind == SPACE)
+            odd = np.zeros(word[-1] + 1, bool)
+            odd[word[kind == OTHER]] = True
+            kind[odd[word] & (kind != SPACE)] = OTHER
+        cut = np.nonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))[0] + 1
+        starts, stops = np.concatenate([[0], cut]), np.append(cut, len(data))
+        own = kind[starts] != SPACE
+        starts, stops = starts[own], stops[own]
+        return starts, stops, lower, kind[starts] == OTHER
+
+    def _learn(self, keys: np.ndarray, texts: list[str], odd: np.ndarray) -> np.ndarray:
+        """Slots of new pieces, whose ids join the pool."""
+        found: list = [None] * len(texts)
+        for tokenizer, own in ((self.merges, np.nonzero(~odd)[0].tolist()), (self.whole, np.nonzero(odd)[0].tolist())):
+            for at in range(0, len(own), 20_000):
+                part = own[at : at + 20_000]
+                for i, e in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                    found[i] = e.ids
+        count = np.array([len(x) for x in found], np.int64)
+        slots = len(self.count) + np.arange(len(texts))
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        return slots
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > self.most[0]:
-            self.words.clear()
-        known = self.words
-        new = self._learn(list(set().union(*split).difference(known)))
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, w)) for w in split]
-        for w in new:
-            if len(w) > LONGEST_WORD:
-                del known[w]
-        return out
+        raw = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"".join([b + b" " for b in raw]), np.uint8)
+        if not len(data):
+            return []
+        if len(self.keys) > self.most[0] or len(self.pool) > self.most[1]:
+            self._empty()
+        starts, stops, lower, odd = self._pieces(data)
+        keys = span_hashes(lower, starts, stops)
+        for i in np.nonzero(odd)[0].tolist():
+            keys[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : stops[i]], digest_size=8).digest(), "little")
+        one, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, one)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == one if len(self.keys) else np.zeros(len(one), bool)
+        slot = np.empty(len(one), np.int64)
+        slot[known] = self.slots[at[known]]
+        new = np.nonzero(~known)[0]
+        if len(new):
+            place = first[new]
+            text = [(data if o else lower)[a:b].tobytes().decode() for a, b, o in zip(starts[place].tolist(), stops[place].tolist(), odd[place].tolist(), strict=True)]
+            slot[new] = self._learn(one[new], text, odd[place])
+        slot = slot[which]
+        n = self.count[slot]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.begin[slot] - ends[:-1], n) + np.arange(ends[-1])].astype("<u4").tobytes()
+        bounds = np.concatenate([[0], np.cumsum([len(b) + 1 for b in raw])])
+        cuts = (4 * ends[np.searchsorted(starts, bounds)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, WordEncoder] = {}
