@@ -189,27 +189,34 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 def predict(docs: DataFrame, model: Model | None, keep: list[Column], text_col: str = "text") -> DataFrame:
     """The columns `keep` of each row with lang_pred and score; und and 0 where the text is null or has no letter, or there is no model."""
-    names = docs.select(*keep).columns
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("text_to_judge"))
+    kept = docs.select(*keep)
+    names = kept.columns
+    if text_col not in names or kept.schema[text_col].dataType.typeName() != "string":
+        kept = docs.select(*keep, F.col(text_col).cast("string").alias("text_to_judge"))
+    at = kept.columns.index("text_to_judge") if len(kept.columns) > len(names) else names.index(text_col)
+
+    def judge(texts: list[bytes]) -> tuple[list[str], list[float]]:
+        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        todo = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+        while todo:
+            size, n = 0, 0
+            while n < len(todo) and n < 128 and (not n or size + len(texts[todo[n]]) <= BATCH_BYTES):
+                size, n = size + len(texts[todo[n]]), n + 1
+            own, todo = todo[:n], todo[n:]
+            for i, g, s in zip(own, *model.predict(features([texts[i] for i in own])), strict=True):
+                lang[i], score[i] = g, s
+        return lang, score
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            todo = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-            while todo:
-                size, n = 0, 0
-                while n < len(todo) and n < 128 and (not n or size + len(texts[todo[n]]) <= BATCH_BYTES):
-                    size, n = size + len(texts[todo[n]]), n + 1
-                own, todo = todo[:n], todo[n:]
-                for i, g, s in zip(own, *model.predict(features([texts[i] for i in own])), strict=True):
-                    lang[i], score[i] = g, s
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
-
-    schema = kept.drop("text_to_judge").schema.add("lang_pred", "string").add("score", "double")
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                lang, score = judge([(t or "").encode() for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return kept.mapInArrow(run, schema)
 
 
