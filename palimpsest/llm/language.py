@@ -15,9 +15,9 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 #: Bins of hashed letter trigrams.
-BINS = 8192
+BINS = 4096
 #: The bounded sample that the classifiers are fitted on: about so many rows a language, and so many languages.
-SAMPLE_ROWS, MAX_LANGUAGES = 500, 64
+SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
 #: Passages of a sampled text that are learned beside the whole, by letters; short texts are then like those learned from.
 PASSAGES = (400, 80, 25)
 #: Fitting: epochs and regularisation of the SVMs.
@@ -68,8 +68,8 @@ def family_of(lang: str) -> str:
     return next((family for family, members in FAMILIES.items() if lang in members), lang)
 
 
-def _svm(x, y, seed: int):
-    """Weights and bias of a linear SVM by averaged stochastic subgradients; y holds -1 and 1."""
+def _svm(x, rows, y, seed: int):
+    """Weights and bias of a linear SVM on those rows by averaged stochastic subgradients; y holds their -1 and 1."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -80,10 +80,11 @@ def _svm(x, y, seed: int):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 32):
             part = order[at : at + 32]
-            inside = y[part] * (x[part] @ w + b) < 1
+            seen = x[rows[part]]
+            inside = y[part] * (seen @ w + b) < 1
             step = 8.0 / (1 + epoch)
             push = (balance[part] * y[part] * inside / len(part)).astype(np.float32)
-            w = (1 - step * REGULAR) * w + step * (push @ x[part])
+            w = (1 - step * REGULAR) * w + step * (push @ seen)
             b += step * 0.1 * float(push.sum())
             if epoch >= EPOCHS // 2:
                 total, total_b, n = total + w, total_b + b, n + 1
@@ -102,13 +103,13 @@ class Model:
         family = np.array([family_of(g) for g in langs])
         rows = []
         if len(self.families) > 1:
-            rows += [_svm(x, np.where(family == f, 1.0, -1.0), i) for i, f in enumerate(self.families)]
+            rows += [_svm(x, np.arange(len(x)), np.where(family == f, 1.0, -1.0), i) for i, f in enumerate(self.families)]
         self.first_pair = len(rows)
         self.members = {f: [g for g in self.langs if family_of(g) == f] for f in self.families}
         self.pairs = [(f, i, j) for f in self.families for i in range(len(self.members[f])) for j in range(i + 1, len(self.members[f]))]
         for n, (f, i, j) in enumerate(self.pairs):
-            own = (lang == self.members[f][i]) | (lang == self.members[f][j])
-            rows.append(_svm(x[own], np.where(lang[own] == self.members[f][i], 1.0, -1.0), 1000 + n))
+            own = np.nonzero((lang == self.members[f][i]) | (lang == self.members[f][j]))[0]
+            rows.append(_svm(x, own, np.where(lang[own] == self.members[f][i], 1.0, -1.0), 1000 + n))
         self.weights = np.stack([w for w, _ in rows], axis=1) if rows else np.zeros((x.shape[1], 0), np.float32)
         self.bias = np.array([b for _, b in rows])
 
