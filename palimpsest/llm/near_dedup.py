@@ -26,7 +26,7 @@ NODE_CLASSES = 3000
 #: Equal bytes of the 128 in two sketches from which sets are compared exactly: 4.4 deviations below the mean at 0.85.
 SKETCH_EQUAL = 91
 #: Classes and shingles that one task compares exactly; larger groups are compared block against block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 3000, 4_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 3000, 2_000_000
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
