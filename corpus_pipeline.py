@@ -10,7 +10,7 @@ from palimpsest.llm.shared import Workspace, fresh, lookup_join
 from palimpsest.llm.token_files import tokenizer_file
 
 #: A document goes if no language is found in it, or with less than this score.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.2
 #: Near-duplicates share at least this percentage of their shingles; bytes of two sketches that then agree at least.
 PERCENT, SKETCH_EQUAL = 80, 82
 
