@@ -158,6 +158,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     every = {g: max(1, -(-n // sample_rows)) for g, n in counts.items()}
     keep = F.create_map(*[x for g, k in every.items() for x in (F.lit(g), F.lit(k))])
     taken = rows.withColumn("k", F.element_at(keep, F.col("lang"))).where(F.col("k").isNotNull() & (F.pmod(F.col("h"), F.col("k")) == 0)).select("lang", "t", "h")
+    taken = taken.dropDuplicates(["lang", "h"])  # a repeated row counts once, so that its repetitions don't enlarge the sample
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
