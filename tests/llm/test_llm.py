@@ -158,6 +158,7 @@ def test_language(spark):
     model = language.fit(odd)
     found = {r["doc_id"]: r for r in language.predict(odd, model, [F.col("doc_id")]).collect()}
     assert {i for i, r in found.items() if r["lang_pred"] == "und"} == {4, 5, 6, 10} and all(found[i]["score"] == 0 for i in (4, 5, 6, 10))
+    assert (language.fit(odd.unionByName(odd).unionByName(odd)).weights == model.weights).all()  # repeated rows are learned once
     assert language.fit(odd.limit(0)) is None
     assert {r["lang_pred"] for r in language.predict(odd, None, [F.col("text")]).collect()} == {"und"}
 
