@@ -23,8 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their sites' boilerplate lines; n_chars follows the text."""
-    cut = line_dedup.drop_boilerplate(docs)
+    """The documents without their sites' boilerplate lines; n_chars follows the text.
+
+    Copies of a text are one page: they go in near-dedup, which keeps one, and its lines must still be there.
+    """
+    cut = line_dedup.drop_boilerplate(docs, copies_once=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

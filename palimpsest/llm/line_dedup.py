@@ -24,26 +24,32 @@ def _hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.length(F.trim(x)) > 0), lambda x: F.xxhash64(x)))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                copies_once: bool = False) -> DataFrame:
     """(host, hash, n_pages, n_host): lines on more than ratio of the host's pages and on min_pages at least.
 
     Counts are summed before and after one shuffle of (host, hash), so a hot host or line costs no
-    more than its distinct lines. Rows with a null host are in no site.
+    more than its distinct lines. Rows with a null host are in no site. With copies_once, a host's rows
+    of equal text are one page; its (line, text) pairs are then shuffled by all their columns before.
     """
     pages = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), F.col(text_col).cast("string").alias("t"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("n_host")).withColumnRenamed("host", "h")
-    lines = pages.select("host", F.explode(_hashes(F.col("t"))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n_pages"))
+    counted, lines = pages, pages.select("host", F.explode(_hashes(F.col("t"))).alias("hash"))
+    if copies_once:
+        page = F.xxhash64("t").alias("page")
+        counted, lines = pages.select("host", page).distinct(), pages.select("host", page, F.explode(_hashes(F.col("t"))).alias("hash")).distinct()
+    hosts = counted.groupBy("host").agg(F.count("*").alias("n_host")).withColumnRenamed("host", "h")
+    lines = lines.groupBy("host", "hash").agg(F.count("*").alias("n_pages"))
     frequent = lines.where(F.col("n_pages") >= min_pages)
     return frequent.join(hosts, F.col("host") == F.col("h")).where(F.col("n_pages") > ratio * F.col("n_host")).drop("h")
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                     count_col: str | None = None, broadcast_rows: int = 200_000) -> DataFrame:
+                     count_col: str | None = None, broadcast_rows: int = 200_000, copies_once: bool = False) -> DataFrame:
     """The rows of docs with their boilerplate lines taken out of text_col.
 
     Every row stays, so a text of boilerplate alone becomes empty. Blank lines stay. A null text or
-    null host leaves the row as it is; repeated rows count as so many pages; an empty table gives an
-    empty table; other columns pass through, whatever their names. count_col, if named, gets the number
+    null host leaves the row as it is; repeated rows count as so many pages unless copies_once is
+    set, which counts a host's equal texts once; an empty table gives an empty table; other columns pass through, whatever their names. count_col, if named, gets the number
     of dropped lines. Lines are held by 64-bit hash within their host.
 
     A host has at most (its mean lines a page / ratio) boilerplate lines, so they fit an array. The
@@ -51,7 +57,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
-    found = ws.table(boilerplate(docs, host_col, text_col, ratio, min_pages).select("host", "hash"), "boilerplate")
+    found = ws.table(boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once).select("host", "hash"), "boilerplate")
     host, bad, salt, own = (fresh(docs, x) for x in ("_host", "_bad", "_salt", "_own"))
     arrays = found.groupBy(F.col("host").alias(host)).agg(F.collect_list("hash").alias(bad))
     if small_enough(found, broadcast_rows):

@@ -174,6 +174,15 @@ def test_line_dedup_odd(spark):
     assert sorted(map(str, salted.collect())) == sorted(map(str, out.collect()))
 
 
+def test_line_dedup_copies(spark):
+    """A third of a host's rows are copies of one text: the pipeline's stage leaves it whole, but takes a line of many different pages."""
+    copied = "first line of a page\nsecond line of a page"
+    rows = [(i, copied, "en", "h", 0) for i in range(20)] + [(100 + i, f"own {i}\n" + ("everywhere" if i < 10 else f"more {i}"), "en", "h", 0) for i in range(40)]
+    by = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
+    assert [by[i] for i in range(20)] == [copied] * 20
+    assert [by[100 + i] for i in range(40)] == [f"own {i}" + ("" if i < 10 else f"\nmore {i}") for i in range(40)]
+
+
 def test_secrets_odd(spark):
     rows = [(1, "password = 'abcdef1' and AKIA" + "A" * 16, "x/a"), (2, "token: abc", "x/b"), (3, None, None), (4, "", "x"), (5, "é" * 3 + " SECRET=zzzzzz9 " + "0a" * 12, "y"), (5, "é" * 3 + " SECRET=zzzzzz9 " + "0a" * 12, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit(0))
