@@ -32,13 +32,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least id; of repeated rows one."""
+    """One row of each group of near-duplicates, that with the least id and text hash, null ids last; of other repeated rows one."""
     ws = Workspace(spark)
     found = near_dedup.near_duplicates(docs, percent=PERCENT, equal=SKETCH_EQUAL)
-    gone = ws.table(found.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "gone")
-    key = fresh(docs, "text_hash")
-    rows = docs.withColumn(key, F.xxhash64("text"))
-    kept = lookup_join(rows, gone.withColumnRenamed("text_hash", key), ["doc_id", key], "left_anti")
+    key, named, number = (fresh(docs, x) for x in ("text_hash", "id_named", "id_number"))
+    # an id as two columns that are never null, so that null ids are found too
+    own = [F.col("doc_id").isNotNull().alias(named), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(number)]
+    gone = ws.table(found.where(~F.col("chosen")).select(*own, F.col("text_hash").alias(key)).distinct(), "gone")
+    rows = docs.select("*", *own, F.xxhash64("text").alias(key))
+    kept = lookup_join(rows, gone, [named, number, key], "left_anti")
     return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 

@@ -203,13 +203,14 @@ def _exact_links(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES,
                     choices: int = CHOICES, equal: int = SKETCH_EQUAL, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES,
                     node_classes: int = NODE_CLASSES) -> DataFrame:
-    """A row per row of docs: id, text_hash, n_shingles, component_id, kept.
+    """A row per row of docs: id, text_hash, n_shingles, component_id, kept, chosen.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. component_id is the least id that
     is reachable by links, kept says that it is the row's own. A text without words has an empty set,
     links with nothing and is kept, as is a null text. A null id takes part in links but names no
     component; alone its component is null, and it is kept. Repeated rows are one class and each keeps its
-    row. An empty table gives no rows. Other columns aren't read.
+    row. chosen, unlike kept, holds for one (id, text_hash) of a component whatever its ids: the least, null
+    ids last; and for texts without words. An empty table gives no rows. Other columns aren't read.
 
     Distributed throughout: a class with a third of all rows is one row after partial aggregation, nodes
     and groups that exceed a task's bounds are divided in blocks that meet pairwise, and each task gives
@@ -219,10 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark)
     rows = ws.table(shingled(docs, id_col, text_col), "rows")
     held = rows.where(F.col("key").isNotNull())
-    first = held.groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    least_row = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
+    first = held.groupBy("key").agg(least_row.alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     # the low byte of each little-endian hash
     sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))
-    classes = ws.table(first.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "n_shingles", "signature", sketch.alias("sketch")), "classes")
+    classes = ws.table(first.select(F.monotonically_increasing_id().alias("cid"), "key", "row", F.col("row.id").alias("rep"), "n_shingles", "signature", sketch.alias("sketch")), "classes")
     near = connected_components(ws, candidate_links(ws, classes, trees, choices, DEPTH, node_classes, equal), "near")
     near = ws.table(near.join(classes.select(F.col("cid").alias("node"), "key", "rep", "n_shingles"), "node").select(F.col("node").alias("cid"), "component", "key", "rep", "n_shingles"), "near")
     weight = near.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_classes), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("parts"))
@@ -252,15 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
     links = ws.table(_exact_links(dealt.select(group.alias("group"), "cid", "shingles"), percent), "exact")
     linked = connected_components(ws, links, "exact-cc")
-    linked = linked.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(classes.select(F.col("cid").alias("node"), "row"), "node")
+    least = linked.groupBy("component").agg(F.min("row").alias("least"))
     least = ws.table(linked.join(least, "component").select(F.col("node").alias("cid"), "least"), "least")
-    answer = ws.table(classes.select("cid", "key", "rep").join(least, "cid", "left").select("key", F.coalesce("least", "rep").alias("component_id")), "answer")
+    answer = classes.select("cid", "key", "row").join(least, "cid", "left").select("key", F.coalesce("least", "row").alias("row"))
+    answer = ws.table(answer.select("key", F.col("row.id").alias("component_id"), F.col("row.text_hash").alias("least_hash")), "answer")
     for name in ("classes", "near", "weights", "asked", "exact", "least"):
         ws.drop(name)
     rows = rows.select("id", "text_hash", "n_shingles", "key")
     whole = lookup_join(rows, answer, ["key"], "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return whole.select(F.col("id").alias(id_col), "text_hash", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    chosen = F.col("key").isNull() | (kept & (F.col("text_hash") == F.col("least_hash")))
+    return whole.select(F.col("id").alias(id_col), "text_hash", "n_shingles", "component_id", kept.alias("kept"), chosen.alias("chosen"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

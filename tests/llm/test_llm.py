@@ -69,6 +69,19 @@ def test_near_dedup_odd(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_odd(spark):
+    """One row of a group stays with null and with repeated ids too."""
+    odd = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_dedup_stage(spark, odd, SF).collect()) == sorted(["1", "4", "5", "6", "7", "8", "10"])
+    rng = random.Random(9)
+    rows = []
+    for ids in ([None, None, None], [7, 7, 7], [None, 8, 8]):
+        base = [rng.choice(WORDS) for _ in range(150)]
+        rows += [(i, " ".join([*base[:70], *(["other"] * k), *base[70:]]), "en", "s", 0) for k, i in enumerate(ids)]
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows + rows[:2], DOCS), SF).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["7", "8", "None"]
+
+
 def test_near_dedup_blocks(spark):
     """One group larger than a node and a block: every link is found by pairs of blocks."""
     rng = random.Random(2)
