@@ -11,6 +11,8 @@ from palimpsest.llm.shared import Workspace, fresh, lookup_join, small_enough
 TEMPER = 0.9
 #: Rounds of raking at most, and the largest relative error of a marginal at which it ends before.
 ROUNDS, TOLERANCE = 12, 1e-10
+#: The share of all tokens that the pipeline's sample holds, in expectation.
+KEEP = 0.9
 #: Words from which a document's form is `short` no more, and `long`.
 SHORT, LONG = 50, 1000
 
@@ -64,8 +66,25 @@ def rake(ws: Workspace, cells: DataFrame, targets: dict[str, DataFrame], rounds:
     return now
 
 
+def scale_for(ratios: DataFrame, keep: float) -> float:
+    """The factor by which the ratios, cut at 1, keep that share of the tokens of cells with weight.
+
+    Cells whose ratio reaches 1 are whole, and the others make up the rest: each round is one sum over
+    the cells, and the factor grows until no further cell gets whole.
+    """
+    weighty = ratios.where("weight > 0")
+    want = keep * (weighty.agg(F.sum("tokens")).first()[0] or 0)
+    scale, whole = 0.0, 0
+    while True:
+        full = F.col("ratio") * F.lit(scale) >= 1
+        n, tokens, weight = weighty.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not weight or (scale and n == whole):
+            return scale
+        scale, whole = max(scale, (want - (tokens or 0)) / weight), n
+
+
 def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, id_col: str = "doc_id", targets: dict[str, DataFrame] | None = None,
-                   temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix") -> DataFrame:
+                   temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix", keep: float | None = None, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, probability (of being sampled) and sampled.
 
     dimensions names the marginals and gives their columns; targets has (value, share) tables for some,
@@ -75,6 +94,10 @@ def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Colum
     probability: rows of equal id share their fate, and runs agree. Null values are a category of their
     own, null ids the id `null`; documents without tokens carry no weight and aren't sampled; an empty
     table gives no rows; other columns pass through, whatever their names.
+
+    With keep, the probability is min(1, scale * ratio) instead, and scale_for makes the expected sample
+    hold that share of all tokens: combinations under their targets are kept whole, and however rare they
+    are, don't shrink the others. Null ids are then drawn by a hash of text_col.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
@@ -88,10 +111,15 @@ def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Colum
         own[name] = ws.table(given.select(_value(F.col("value")).alias(name), "share") if given is not None else tempered(cells, name, temper), f"target-{name}")
     raked = rake(ws, cells, own, rounds)
     ratios = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    most = ratios.agg(F.max("ratio")).first()[0] or 1.0
-    chance = ws.table(ratios.select(*names.values(), (F.col("ratio") / most).alias(p)), "chance")
+    if keep is None:
+        most = ratios.agg(F.max("ratio")).first()[0] or 1.0
+        scaled = F.col("ratio") / most
+    else:
+        scaled = F.least(F.lit(1.0), F.col("ratio") * scale_for(ratios, keep))
+    chance = ws.table(ratios.select(*names.values(), scaled.alias(p)), "chance")
     joined = lookup_join(keyed, chance, list(names.values()), "left")
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    unnamed = F.lit("null") if keep is None else F.concat(F.lit("null:"), F.xxhash64(text_col).cast("string"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col(id_col).cast("string"), unnamed))), 1, 8), 16, 10).cast("double") / 4294967296.0
     chosen = (F.col(n) > 0) & (drawn < F.col(p))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(n), F.when(F.col(n) > 0, F.col(p)).otherwise(0.0).alias(p), chosen.alias(fresh(docs, "sampled")))
 
@@ -101,8 +129,8 @@ def _dimensions() -> dict[str, Column]:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The sampled rows of docs (doc_id, text, lang, source), with the columns that docs has."""
-    weighed = mixing_weights(docs, _dimensions(), word_count(F.col("text")))
+    """The sampled rows of docs (doc_id, text, lang, source), about KEEP of the tokens, with the columns that docs has."""
+    weighed = mixing_weights(docs, _dimensions(), word_count(F.col("text")), keep=KEEP)
     return weighed.where(F.col(weighed.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

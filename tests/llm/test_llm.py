@@ -153,6 +153,27 @@ def test_mixing_odd(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_rare(spark):
+    """A document of a new source and language doesn't shrink the sample of the others; null ids are drawn apart."""
+    rows = [(i, f"{i} " * 60, "en" if i % 3 else "de", f"s{i % 4}", 0) for i in range(4000)]
+    rare = [(9999, "new " * 20, "xx", "new", 0)]
+    common = {r["doc_id"] for r in mixing.mixed(spark.createDataFrame(rows, DOCS)).collect()}
+    both = {r["doc_id"] for r in mixing.mixed(spark.createDataFrame(rows + rare, DOCS)).collect()}
+    assert 9999 in both and abs(len(common) / 4000 - 0.9) < 0.02 and len(common ^ (both - {9999})) < 20
+    unnamed = mixing.mixed(spark.createDataFrame([(None, *r[1:]) for r in rows], DOCS)).count()
+    assert abs(unnamed / 4000 - 0.9) < 0.02
+
+
+def test_mixing_scale(spark):
+    """The factor solves the share of tokens over any cells: brute force by bisection."""
+    rng = random.Random(4)
+    cells = [(rng.randint(1, 1000), rng.random() ** 8 * 100) for _ in range(300)] + [(7, 0.0)]
+    frame = spark.createDataFrame([(t, r * t, r) for t, r in cells], "tokens long, weight double, ratio double")
+    for keep in (0.1, 0.5, 0.9, 1.0):
+        scale = mixing.scale_for(frame, keep)
+        assert abs(sum(t * min(1, scale * r) for t, r in cells) / sum(t for t, r in cells if r) - keep) < 1e-9
+
+
 def test_rake_meets_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "en" if i % 3 else "de", f"s{i % 4}") for i in range(400)], "doc_id long, text string, lang string, source string")
     target = spark.createDataFrame([("en", 0.5), ("de", 0.5)], "value string, share double")
