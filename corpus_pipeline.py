@@ -16,8 +16,11 @@ PERCENT, SKETCH_EQUAL = 80, 82
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which a language is found; learned from those that have a label."""
-    found = language.predict(docs, language.fit(docs), [F.col(f"`{c}`") for c in docs.columns])
+    """The documents in which a language is found; learned from those that have a label. All, if none has one."""
+    model = language.fit(docs)
+    if model is None:
+        return docs
+    found = language.predict(docs, model, [F.col(f"`{c}`") for c in docs.columns])
     pred, score = found.columns[-2:]
     return found.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import Workspace, lookup_join
+
 #: Families of languages by code. A language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
@@ -16,8 +18,11 @@ FAMILIES = {
 UNKNOWN = "und"
 #: Bins of hashed letter trigrams.
 BINS = 4096
-#: The bounded sample that the classifiers are fitted on: about so many rows a language, and so many languages.
-SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
+#: The sample that the classifiers are fitted on: about so many rows a language, and so many in all, but of each
+#: language about LEAST_ROWS even if there are so many languages that these are more.
+SAMPLE_ROWS, ALL_ROWS, LEAST_ROWS = 400, 25_600, 25
+#: Classifiers from which on they are fitted by tasks, not by the driver.
+FIT_HERE = 32
 #: Passages of a sampled text that are learned beside the whole, by letters; short texts are then like those learned from.
 PASSAGES = (400, 80, 25)
 #: Fitting: epochs and regularisation of the SVMs.
@@ -68,6 +73,29 @@ def family_of(lang: str) -> str:
     return next((family for family, members in FAMILIES.items() if lang in members), lang)
 
 
+class Rows:
+    """Rows of features, held by their bins that aren't 0; indexing gives a dense array."""
+
+    def __init__(self, bins: list[bytes], values: list[bytes]):
+        import numpy as np
+
+        self.shape = (len(bins), BINS)
+        self.ends = np.cumsum([0, *(len(b) // 2 for b in bins)])
+        self.bins, self.values = np.frombuffer(b"".join(bins), "<u2"), np.frombuffer(b"".join(values), "<f4")
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, rows):
+        import numpy as np
+
+        out = np.zeros((len(rows), BINS), np.float32)
+        for i, row in enumerate(rows):
+            at = slice(self.ends[row], self.ends[row + 1])
+            out[i, self.bins[at]] = self.values[at]
+        return out
+
+
 def _svm(x, rows, y, seed: int):
     """Weights and bias of a linear SVM on those rows by averaged stochastic subgradients; y holds their -1 and 1."""
     import numpy as np
@@ -91,25 +119,46 @@ def _svm(x, rows, y, seed: int):
     return total / n, total_b / n
 
 
+def _fit_one(task: tuple[str, str, int], x, lang, family):
+    """_svm of a language against another (language, other language, seed), or of a family against the rest ("", family, seed)."""
+    import numpy as np
+
+    one, other, seed = task
+    if not one:
+        return _svm(x, np.arange(len(x)), np.where(family == other, 1.0, -1.0), seed)
+    own = np.nonzero((lang == one) | (lang == other))[0]
+    return _svm(x, own, np.where(lang[own] == one, 1.0, -1.0), seed)
+
+
+def _fit_in_tasks(spark: SparkSession, tasks: list[tuple[str, str, int]], x, lang, family) -> list:
+    """_fit_one of each, in a task of its own."""
+    shared = spark.sparkContext.broadcast((x, lang, family))
+
+    rows = spark.sparkContext.parallelize(tasks, len(tasks)).map(lambda task: _fit_one(task, *shared.value)).collect()
+    shared.unpersist()
+    return rows
+
+
 class Model:
     """Families one against the rest; within a family, each pair of its languages."""
 
-    def __init__(self, x, langs: list[str]):
+    def __init__(self, x, langs: list[str], spark: SparkSession | None = None):
         import numpy as np
 
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(g) for g in self.langs})
         lang = np.array(langs)
         family = np.array([family_of(g) for g in langs])
-        rows = []
-        if len(self.families) > 1:
-            rows += [_svm(x, np.arange(len(x)), np.where(family == f, 1.0, -1.0), i) for i, f in enumerate(self.families)]
-        self.first_pair = len(rows)
+        families = self.families if len(self.families) > 1 else []
+        self.first_pair = len(families)
         self.members = {f: [g for g in self.langs if family_of(g) == f] for f in self.families}
         self.pairs = [(f, i, j) for f in self.families for i in range(len(self.members[f])) for j in range(i + 1, len(self.members[f]))]
-        for n, (f, i, j) in enumerate(self.pairs):
-            own = np.nonzero((lang == self.members[f][i]) | (lang == self.members[f][j]))[0]
-            rows.append(_svm(x, own, np.where(lang[own] == self.members[f][i], 1.0, -1.0), 1000 + n))
+        tasks = [("", f, i) for i, f in enumerate(families)] + [(self.members[f][i], self.members[f][j], 1000 + n) for n, (f, i, j) in enumerate(self.pairs)]
+
+        if spark is None or len(tasks) <= FIT_HERE:
+            rows = [_fit_one(t, x, lang, family) for t in tasks]
+        else:
+            rows = _fit_in_tasks(spark, tasks, x, lang, family)
         self.weights = np.stack([w for w, _ in rows], axis=1) if rows else np.zeros((x.shape[1], 0), np.float32)
         self.bias = np.array([b for _, b in rows])
 
@@ -143,24 +192,24 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on about sample_rows rows of each of the (at most MAX_LANGUAGES most frequent) labelled languages.
+    """Fit on every labelled language: on about sample_rows rows of each, or fewer if ALL_ROWS don't allow it.
 
-    Rows are taken by a hash of id and text, features are made by the tasks, and only the sampled rows'
-    sparse counts reach the driver. None without a labelled row whose text has a letter.
+    Rows are taken by a hash of id and text, and that with a letter and the least hash in any case, so that
+    no language is without. Features are made by the tasks, and only the sampled rows' sparse counts reach the
+    driver. None without a labelled row whose text has a letter.
     """
-    import numpy as np
-
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return None
-    every = {g: max(1, -(-n // sample_rows)) for g, n in counts.items()}
-    keep = F.create_map(*[x for g, k in every.items() for x in (F.lit(g), F.lit(k))])
-    taken = rows.withColumn("k", F.element_at(keep, F.col("lang"))).where(F.col("k").isNotNull() & (F.pmod(F.col("h"), F.col("k")) == 0)).select("lang", "t", "h")
+    ws = Workspace(docs.sparkSession)
+    lettered = F.when(F.col("t").rlike(r"\p{L}"), F.col("h"))
+    counts = ws.table(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(lettered).alias("least")), "counts")
+    each = min(sample_rows, max(LEAST_ROWS, ALL_ROWS // max(1, counts.count())))
+    every = counts.select("lang", "least", F.ceil(F.col("n") / each).alias("k"))
+    taken = lookup_join(rows, every, ["lang"], "inner").where((F.pmod("h", "k") == 0) | (F.col("h") == F.col("least"))).select("lang", "t", "h")
     taken = taken.dropDuplicates(["lang", "h"])  # a repeated row counts once, so that its repetitions don't enlarge the sample
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -183,10 +232,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     found = sorted(taken.mapInArrow(run, "lang string, h long, bins binary, x binary").collect())
     if not found:
         return None
-    x = np.zeros((len(found), BINS), np.float32)
-    for i, row in enumerate(found):
-        x[i, np.frombuffer(row["bins"], "<u2")] = np.frombuffer(row["x"], "<f4")
-    return Model(x, [row["lang"] for row in found])
+    return Model(Rows([row["bins"] for row in found], [row["x"] for row in found]), [row["lang"] for row in found], docs.sparkSession)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[Column], text_col: str = "text") -> DataFrame:

@@ -197,6 +197,29 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(odd, None, [F.col("text")]).collect()} == {"und"}
 
 
+def test_language_many(spark):
+    """70 labels are all learned, the rarest too, by tasks as by the driver; without labels the stage keeps its rows."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(70):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 5)
+        rows += [(100 * g + i, " ".join("".join(rng.choices(letters, k=6)) for _ in range(40)), f"x{g:02}", "s", 0) for i in range(3 if g < 64 else 2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs)
+    assert model.langs == [f"x{g:02}" for g in range(70)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model, [F.col("doc_id")]).collect()}
+    assert sum(found[r[0]] == r[2] for r in rows[-12:]) >= 11
+    x = language.features([r[1].encode() for r in rows])
+    here, there = language.Model(x, [r[2] for r in rows]), language.Model(x, [r[2] for r in rows], spark)
+    assert (here.weights == there.weights).all() and (here.bias == there.bias).all()
+    held = language.Rows([np.nonzero(v)[0].astype("<u2").tobytes() for v in x], [v[v != 0].tobytes() for v in x])
+    assert (held[np.arange(len(x))] == x).all()
+    copies = spark.createDataFrame([(1, "one text of many copies", "en", "s", 0)] * 1000, DOCS)
+    assert language.fit(copies.unionByName(docs.limit(3))).langs == ["en", "x00"]
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == len(rows)
+
+
 def test_line_dedup_odd(spark):
     docs = odd_docs(spark)
     out = line_dedup.drop_boilerplate(docs, min_pages=2, ratio=0.1)
