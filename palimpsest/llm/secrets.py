@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, fresh, lookup_join
+from palimpsest.llm.shared import Workspace, lookup_join
 
 #: The kinds' patterns in Java's syntax, the group that holds the secret, its least length. A run
 #: that is too short can't hold a longer match of access or hex, so their lengths stand in the pattern.
@@ -20,53 +20,60 @@ OWNED = ("owned", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
 MAX_OWNERS = 2
 
 
-def _spans(text: Column, number: int, kind: tuple) -> Column:
-    """All of one kind's matches: start and end in code points, end exclusive, and the secret's hash.
+def _matches(text: Column, number: int, kind: tuple) -> Column:
+    """One kind's matches in order: the code points before each since the last (gap), its length, the secret's hash, whether it counts.
 
-    Spark has no function for the places of all matches, so they are added up from the texts between.
+    Spark has no function for the places of all matches; find_secrets adds them up. The texts between and
+    the matches are the input of one transform, so each pattern runs over a text so often, however many matches there are.
     """
     _, pattern, group, least = kind
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,kind:int,end:long,hash:string>>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.element_at(between, i))
-        end, value = begin + F.length(F.element_at(hits, i)), F.element_at(values, i)
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.sha2(value, 256).alias("hash"))
+    def one(x: Column, i: Column) -> Column:
+        value = F.regexp_extract(x["1"], pattern, group) if group else x["1"]
         good = F.length(value) >= least
         if kind is OWNED:
             good = good & value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.lit(number).alias("kind"), i.alias("nth"), F.length(x["0"]).alias("gap"), F.length(x["1"]).alias("length"), F.sha2(value, 256).alias("hash"), good.alias("good"))
 
-    every = F.aggregate(F.sequence(F.lit(1), F.size(hits)), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), every).otherwise(start["out"])
+    none = F.array().cast("array<struct<kind:int,nth:int,gap:int,length:int,hash:string,good:boolean>>")
+    # the text after the last match has no match of its own
+    zipped = F.filter(F.arrays_zip(between.alias("0"), hits.alias("1")), lambda x: x["1"].isNotNull())
+    return F.when(text.rlike(pattern), F.transform(zipped, one)).otherwise(none)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str | None = None,
                  max_owners: int = MAX_OWNERS) -> DataFrame:
     """A row per document: its id, and spans: array of (start, kind, end, hash, repositories, owners).
 
-    kind counts KINDS and then OWNED; repositories and owners count the different ones in the whole
-    corpus that have a secret of that hash. Without owner_col a repository's owner is its name up to
-    the first slash. Base spans always stay; OWNED ones stay if exactly one owner has the secret and
-    they touch no base span. A null text counts as empty; null repositories and owners aren't counted;
-    repeated rows give a row each; an empty table gives none; other columns aren't read.
+    start and end count code points, end exclusive; kind counts KINDS and then OWNED; repositories and owners
+    count the different ones in the whole corpus that have a secret of that hash. Without owner_col a
+    repository's owner is its name up to the first slash. Base spans always stay; OWNED ones stay if exactly
+    one owner has the secret and they touch no base span. A null text counts as empty; null repositories and
+    owners aren't counted, so a secret that only rows without an owner have is no owner's; repeated rows give a
+    row each, equal starts go by kind; an empty table gives none; other columns aren't read.
 
-    Counting is by (hash, repository) and (hash, owner) after partial sums, so a secret that a third
-    of the corpus shares costs no more than its repositories.
+    Texts are read once and matches shuffled by document, so work grows with the text and, but for a sort, with
+    the matches. Counting is by (hash, repository) and (hash, owner) after partial sums, so a secret that
+    a third of the corpus shares costs no more than its repositories.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     repository = F.col(repository_col).cast("string")
     owner = F.col(owner_col).cast("string") if owner_col else F.substring_index(repository, "/", 1)
-    base = F.concat(*(_spans(text, n, k) for n, k in enumerate(KINDS)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), repository.alias("repository"), owner.alias("owner"),
-                       base.alias("base"), _spans(text, len(KINDS), OWNED).alias("more"))
-    apart = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = ws.table(rows.select("row", "id", "repository", "owner", F.concat("base", apart).alias("spans")), "spans")
-    each = rows.where(F.size("spans") > 0).select("row", "repository", "owner", F.explode("spans").alias("span")).select("row", "repository", "owner", "span.*")
+                       F.concat(*(_matches(text, n, k) for n, k in enumerate((*KINDS, OWNED)))).alias("matches"))
+    rows = ws.table(rows, "matches")
+    every = rows.where(F.size("matches") > 0).select("row", "repository", "owner", F.explode("matches").alias("m")).select("row", "repository", "owner", "m.*").repartition("row")
+    end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    placed = every.select("row", "repository", "owner", "kind", (end - F.col("length")).alias("start"), end.alias("end"), "hash", "good").where("good")
+    # a base span stands at its start, another at its end and before base spans there: the furthest base end so far tells whether they touch
+    base = F.col("kind") < len(KINDS)
+    order = Window.partitionBy("row").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), F.desc("kind"))
+    furthest = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    each = placed.withColumn("furthest", furthest).where(base | F.col("furthest").isNull() | (F.col("furthest") <= F.col("start")))
+    each = ws.table(each.select("row", "repository", "owner", "start", "kind", "end", "hash"), "spans")
     known = each.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
     known = ws.table(known, "ownership")
     judged = lookup_join(each.select("row", "start", "kind", "end", "hash"), known, ["hash"], "inner")

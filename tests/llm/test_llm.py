@@ -249,6 +249,24 @@ def test_secrets_odd(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_owned(spark):
+    """Owned spans by owners, over nulls: shared ones and those that touch a base span go, copies in one owner's repositories stay."""
+    one, two, three, four = (f"{c}{'aB3' * 11}" for c in "wxyz")
+    hexed = "0123456789abcdef" * 2
+    rows = [(1, f"é {one} end", "ann/a"), (2, f"{one}\n{two}", "ann/b"), (3, f"{two} {hexed} x", "bob/a"), (4, f"token={three} {three}", "bob/a"), (5, four, None), (6, f"password: {hexed}A", "eve/z"), (7, f"{hexed}", None)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    spans = {i: [(s["kind"], s["start"], s["end"], s["repositories"], s["owners"]) for s in v] for i, v in found.items()}
+    assert spans == {1: [(3, 2, 36, 2, 1)], 2: [(3, 0, 34, 2, 1)], 3: [(2, 35, 67, 2, 2)], 4: [(0, 0, 40, 1, 1), (3, 41, 75, 1, 1)], 5: [], 6: [(0, 0, 43, 1, 1), (2, 10, 42, 2, 2)], 7: [(2, 0, 32, 2, 2)]}
+
+
+def test_secrets_long(spark):
+    """A text of over 1 MB with 20,000 matches of one kind and 10,000 of others, at the places that brute force finds."""
+    text = " ".join(f"é{i} {i:024x} more filling" + (f" Token = '{i:06}'" if i % 2 else "") for i in range(20_000))
+    found = secrets.find_secrets(spark.createDataFrame([(1, text, "a/b"), (2, None, "a/b")], "doc_id long, text string, source string")).where("doc_id = 1").first()["spans"]
+    want = [(m.start(), 0, m.end()) for m in re.finditer(r"Token = '[0-9]{6}", text)] + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    assert len(text) > 1_000_000 and [(s["start"], s["kind"], s["end"]) for s in found] == sorted(want)
+
+
 def test_archive_odd(spark):
     from palimpsest.llm.shared import Workspace
 
