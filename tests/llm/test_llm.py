@@ -133,16 +133,58 @@ def test_vectors_blocks(spark):
 def test_search(spark):
     rng = random.Random(11)
     docs = [(i, " ".join(rng.choices(WORDS, weights=[1 / (k + 1) for k in range(300)], k=rng.randint(0, 120)))) for i in range(600)]
-    docs += [(601, docs[50][1]), (602, None), (603, "")]
+    docs += [(601, docs[50][1]), (602, None), (603, ""), (604, " ".join(WORDS * 300))]
     frame = pd.DataFrame(docs, columns=["doc_id", "text"])
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("shard", F.lit(1))
-    assert_same(search.search(df, df.where("doc_id % 50 = 0"), shard_bytes=20_000), search.OP3_SQL, documents=frame)
+    for slice_bytes in (1 << 20, 3000):
+        assert_same(search.search(df, df.where("doc_id % 50 = 0"), shard_bytes=150_000, slice_bytes=slice_bytes), search.OP3_SQL, documents=frame)
     again = df.unionByName(df.where("doc_id = 0")).unionByName(spark.createDataFrame([(None, "w1 w2")], "doc_id long, text string").withColumn("shard", F.lit(1)))
     assert search.search(again, again.where("doc_id = 50 or doc_id is null"), k=3).count() == 6
     assert search.search(df.limit(0), df).count() == 0
     assert search.search(df, df.where("text is null or text = ''")).count() == 0
 
 
+def test_search_ties(spark):
+    """Equal scores go by id, null ids last, at rank k too."""
+    df = spark.createDataFrame([(i, "same words here") for i in (5, 3, None, 9, 1, 7)] + [(100, "other")], "doc_id long, text string")
+    asked = df.where("doc_id = 5")
+    assert [r["doc_id"] for r in search.search(df, asked, k=3).orderBy("rank").collect()] == [1, 3, 5]
+    assert [r["doc_id"] for r in search.search(df, asked, k=9).orderBy("rank").collect()] == [1, 3, 5, 7, 9, None]
+
+
+def test_search_prunes():
+    """Most postings aren't read, few documents are scored whole, and the results are those of brute force."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    tongues = [[f"{c}{i}" for i in range(4000)] for c in "abc"]
+    weights = [1 / (i + 3) for i in range(4000)]
+    texts = [" ".join(rng.choices(tongues[i % 3], weights=weights, k=rng.choice((20, 60, 200)))) for i in range(3000)]
+    for i in range(0, 600, 2):  # near copies, as search engines have them
+        texts[i + 1] = texts[i].replace(" ", "  ", 1)
+    builder = search.Builder()
+    builder.add(list(range(3000)), pa.array(texts))
+    arrays = builder.finish()
+    mean = float(arrays["length"].mean())
+    shard = search.Shard(arrays, mean, counting=True)
+    size, begin = arrays["size"].astype(int), np.concatenate([[0], np.cumsum(arrays["size"].astype(int))])
+    asks = []
+    for i in range(0, 3000, 60):
+        words = search.distinct_words(pa.array([texts[i]]))[0]
+        df = size[np.searchsorted(arrays["word"], words)].astype(float)
+        asks.append((words, np.log(1 + (3000 - df + 0.5) / (df + 0.5))))
+    norm = search.K1 * (1 - search.B + search.B * arrays["length"] / mean)
+    for (words, weight), (place, score) in zip(asks, shard.search(asks, 10), strict=True):
+        want = np.zeros(3000)
+        for t, w in zip(np.searchsorted(arrays["word"], words), weight, strict=True):
+            doc, tf = arrays["doc"][begin[t] : begin[t + 1]], arrays["tf"][begin[t] : begin[t + 1]].astype(float)
+            want[doc] += w * tf * (search.K1 + 1) / (tf + norm[doc])
+        least = np.sort(want)[-10]
+        assert {p for p, s in zip(place.tolist(), score.tolist(), strict=True) if s > least + 1e-5} == set(np.nonzero(want > least + 1e-5)[0].tolist())
+        assert np.allclose(score, want[place], atol=2e-6) and len(place) >= 10
+    assert shard.read < 0.6 * shard.held and shard.whole < 0.1 * 3000 * len(asks)
+
+
 def test_mixing_odd(spark):
     docs = odd_docs(spark)
     found = mixing.mixing_weights(docs, mixing._dimensions(), mixing.word_count(F.col("text")))
