@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, lookup_join
+from palimpsest.llm.shared import Workspace, lookup_join, thrifty
 
 #: Families of languages by code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pa.RecordBatch.from_pydict(dict(zip(("lang", "h", "bins", "x"), map(list, zip(*out, strict=True)), strict=True)) if out else {"lang": [], "h": [], "bins": [], "x": []},
                                              schema=pa.schema([("lang", pa.string()), ("h", pa.int64()), ("bins", pa.binary()), ("x", pa.binary())]))
 
-    found = sorted(taken.mapInArrow(run, "lang string, h long, bins binary, x binary").collect())
+    found = sorted(taken.mapInArrow(thrifty(run), "lang string, h long, bins binary, x binary").collect())
     if not found:
         return None
     return Model(Rows([row["bins"] for row in found], [row["x"] for row in found]), [row["lang"] for row in found], docs.sparkSession)
@@ -265,7 +265,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[Column], text_col:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(thrifty(run), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from palimpsest.llm.shared import Workspace, fresh, lookup_join, small_enough
 TEMPER = 0.9
 #: Rounds of raking at most, and the largest relative error of a marginal at which it ends before.
 ROUNDS, TOLERANCE = 12, 1e-10
+#: Of a marginal that is further from its target after the last round, a warning tells.
+RESIDUAL = 0.01
 #: The share of all tokens that the pipeline's sample holds, in expectation.
 KEEP = 0.9
 #: Words from which a document's form is `short` no more, and `long`.
@@ -38,17 +43,18 @@ def tempered(cells: DataFrame, dimension: str, temper: float = TEMPER) -> DataFr
     return marginal.crossJoin(F.broadcast(marginal.agg(F.sum("p").alias("all")))).select(dimension, (F.col("p") / F.col("all")).alias("share"))
 
 
-def rake(ws: Workspace, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells with weight: tokens scaled until the sums along each dimension have the target shares.
+def rake(ws: Workspace, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """cells with weight: tokens scaled until the sums along each dimension have the target shares; and the residual.
 
     cells has a row per combination of the targets' dimensions with its tokens; a target has (dimension,
     share), and values without a share get weight 0. Each round scales by one dimension after another and
     is written; sums are grouped with partial sums and joined back, so a value with most cells is no hot
-    task, and only marginals of a counted size are broadcast.
+    task, and only marginals of a counted size are broadcast. The residual is the greatest relative error that a
+    value's sum had in the last round before it was scaled: of targets that contradict each other it stays large.
     """
     small = {d: small_enough(t) for d, t in targets.items()}
     now = ws.table(cells.withColumn("weight", F.col("tokens").cast("double")), "rake-0")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, residual = cells.agg(F.sum("tokens")).first()[0] or 0, 0.0
     for turn in range(1, rounds + 1):
         step, error = now, []
         for d, target in targets.items():
@@ -61,9 +67,10 @@ def rake(ws: Workspace, cells: DataFrame, targets: dict[str, DataFrame], rounds:
         worst = now.agg(*error).first()
         now = now.select(*cells.columns, "weight")
         ws.drop(f"rake-{turn - 1}")
-        if all((e or 0.0) <= tolerance for e in worst):
+        residual = max(e or 0.0 for e in worst)
+        if residual <= tolerance:
             break
-    return now
+    return now, residual
 
 
 def scale_for(ratios: DataFrame, keep: float) -> float:
@@ -83,11 +90,11 @@ def scale_for(ratios: DataFrame, keep: float) -> float:
         scale, whole = max(scale, (want - (tokens or 0)) / weight), n
 
 
-def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Column, id_col: str = "doc_id", targets: dict[str, DataFrame] | None = None,
-                   temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix", keep: float | None = None, text_col: str = "text") -> DataFrame:
+def mixing_weights(docs: DataFrame, dimensions: dict[str, Column | Callable[[Column], Column]], tokens: Column, id_col: str = "doc_id", targets: dict[str, DataFrame] | None = None,
+                   temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix", keep: float | None = None, text_col: str = "text", max_residual: float | None = None) -> DataFrame:
     """docs with n_tokens, probability (of being sampled) and sampled.
 
-    dimensions names the marginals and gives their columns; targets has (value, share) tables for some,
+    dimensions names the marginals and gives their columns, or functions of the column of tokens; targets has (value, share) tables for some,
     the others get tempered shares. Raked weights over tokens give each combination's ratio, and a
     document's probability is its ratio over the largest, so the expected sample has the targets' shares
     as nearly as raking met them. A document is sampled if a number made of its id's digest is below its
@@ -95,6 +102,9 @@ def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Colum
     own, null ids the id `null`; documents without tokens carry no weight and aren't sampled; an empty
     table gives no rows; other columns pass through, whatever their names.
 
+    A marginal that raking leaves further from its target than RESIDUAL is told in a warning, and than max_residual,
+    if given, in a ValueError.
+
     With keep, the probability is min(1, scale * ratio) instead, and scale_for makes the expected sample
     hold that share of all tokens: combinations under their targets are kept whole, and however rare they
     are, don't shrink the others. Null ids are then drawn by a hash of text_col.
@@ -103,13 +113,18 @@ def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Colum
     ws = Workspace(spark)
     names = {d: fresh(docs, f"_d{i}") for i, d in enumerate(dimensions)}
     n, p = fresh(docs, "n_tokens"), fresh(docs, "probability")
-    keyed = docs.select("*", *(_value(c).alias(names[d]) for d, c in dimensions.items()), tokens.alias(n))
+    counted = docs.select("*", tokens.alias(n))  # apart, so that tokens are counted once for all that follows from them
+    keyed = counted.select("*", *(_value(c(F.col(n)) if callable(c) else c).alias(names[d]) for d, c in dimensions.items()))
     cells = ws.table(keyed.groupBy(*names.values()).agg(F.sum(n).alias("tokens")), "cells")
     own = {}
     for d, name in names.items():
         given = (targets or {}).get(d)
         own[name] = ws.table(given.select(_value(F.col("value")).alias(name), "share") if given is not None else tempered(cells, name, temper), f"target-{name}")
-    raked = rake(ws, cells, own, rounds)
+    raked, residual = rake(ws, cells, own, rounds)
+    if max_residual is not None and residual > max_residual:
+        raise ValueError(f"the targets can't be met: a marginal is {residual:.3g} from its share after {rounds} rounds")
+    if residual > RESIDUAL:
+        warnings.warn(f"a marginal is {residual:.3g} from its target share after {rounds} rounds of raking", stacklevel=2)
     ratios = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     if keep is None:
         most = ratios.agg(F.max("ratio")).first()[0] or 1.0
@@ -124,19 +139,24 @@ def mixing_weights(docs: DataFrame, dimensions: dict[str, Column], tokens: Colum
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(n), F.when(F.col(n) > 0, F.col(p)).otherwise(0.0).alias(p), chosen.alias(fresh(docs, "sampled")))
 
 
-def _dimensions() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": form(F.col("text"), word_count(F.col("text")))}
+def _dimensions(docs: DataFrame) -> dict[str, Column | Callable[[Column], Column]]:
+    """source, lang and form; a column that docs lacks is one category."""
+    given = {c: F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("source", "lang")}
+    return {**given, "form": lambda words: form(F.col("text"), words)}
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The sampled rows of docs (doc_id, text, lang, source), about KEEP of the tokens, with the columns that docs has."""
-    weighed = mixing_weights(docs, _dimensions(), word_count(F.col("text")), keep=KEEP)
+    """The sampled rows of docs (doc_id, text; lang and source if it has them), about KEEP of the tokens, with the columns that docs has."""
+    weighed = mixing_weights(docs, _dimensions(docs), word_count(F.col("text")), keep=KEEP)
     return weighed.where(F.col(weighed.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = mixing_weights(docs, _dimensions(), word_count(F.col("text")))
+    counted = docs.select("doc_id", "source", "lang", "text", word_count(F.col("text")).alias("n_words"))
+    # the texts are read once: what follows from them is written without them
+    narrow = Workspace(spark).table(counted.select("doc_id", "source", "lang", "n_words", form(F.col("text"), F.col("n_words")).alias("form")), "counted")
+    found = mixing_weights(narrow, {"source": F.col("source"), "lang": F.col("lang"), "form": F.col("form")}, F.col("n_words"))
     return found.select("doc_id", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, connected_components, lookup_join, small_enough
+from palimpsest.llm.shared import Workspace, connected_components, lookup_join, thrifty
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -23,10 +23,10 @@ PERCENT = 85
 TREES, CHOICES, DEPTH = 4, 4, 3
 #: A node of at most so many classes compares them all; its sketches take 128 bytes each.
 NODE_CLASSES = 3000
-#: Equal bytes of the 128 in two sketches from which sets are compared exactly: 4.4 deviations below the mean at 0.85.
-SKETCH_EQUAL = 91
+#: Equal bytes of the 128 in two sketches from which sets are compared exactly: 5.7 deviations below the mean at 0.85.
+SKETCH_EQUAL = 86
 #: Classes and shingles that one task compares exactly; larger groups are compared block against block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 3000, 2_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 3000, 1_000_000
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,7 +48,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([next(sig).tobytes() if k else None for k in keys], pa.binary())], names=["id", "text_hash", "n_shingles", "key", "signature"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, key binary, signature binary")
+    return rows.mapInArrow(thrifty(run), "id long, text_hash long, n_shingles long, key binary, signature binary")
 
 
 def _branch(classes: DataFrame, root: bool, trees: int, choices: int, level: int) -> DataFrame:
@@ -79,7 +79,7 @@ def _branch(classes: DataFrame, root: bool, trees: int, choices: int, level: int
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), cid], names=["path", "cid"])
 
     columns = ["cid", "signature"] if root else ["path", "cid", "signature"]
-    return classes.select(*columns).mapInArrow(run, "path long, cid long")
+    return classes.select(*columns).mapInArrow(thrifty(run), "path long, cid long")
 
 
 def _compare_nodes(nodes: DataFrame, equal: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _compare_nodes(nodes: DataFrame, equal: int) -> DataFrame:
         if out_a:
             yield pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return nodes.repartition("path").sortWithinPartitions("path").select("path", "cid", "sketch").mapInArrow(run, "a long, b long")
+    return nodes.repartition("path").sortWithinPartitions("path").select("path", "cid", "sketch").mapInArrow(thrifty(run), "a long, b long")
 
 
 def candidate_links(ws: Workspace, classes: DataFrame, trees: int = TREES, choices: int = CHOICES, depth: int = DEPTH,
@@ -197,7 +197,7 @@ def _exact_links(sets: DataFrame, percent: int) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=schema)
 
-    return sets.repartition("group").sortWithinPartitions("group").select("group", "cid", "shingles").mapInArrow(run, "a long, b long")
+    return sets.repartition("group").sortWithinPartitions("group").select("group", "cid", "shingles").mapInArrow(thrifty(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES,
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     texts = lookup_join(texts.where(F.col("i").isNotNull()), named, ["i"], "left_semi").unionByName(texts.where(F.col("i").isNull())).select("t")
     asked = ws.table(near.join(weight, "component").select("cid", "key", "component", "blocks"), "asked")
-    sets = lookup_join(texts.mapInArrow(sets_of, "key binary, shingles binary"), asked, ["key"], "inner")
+    sets = lookup_join(texts.mapInArrow(thrifty(sets_of), "key binary, shingles binary"), asked, ["key"], "inner")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import thrifty
 from palimpsest.llm.token_files import tokenizer_file
 
 #: Ids that a task holds before it packs them; its memory is bounded by this and the longest text.
@@ -131,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len: i
             yield flush()
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        thrifty(pack), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

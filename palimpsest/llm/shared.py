@@ -4,25 +4,56 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many narrow rows (a few tens of bytes each) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
+#: A node with more than this part of all links, and at least so many, is joined apart from the others: there are fewer than HOT_PART such.
+HOT_PART, HOT_LINKS = 1000, 200
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; the setting is made only where it is unset."""
+    """A fresh folder under spark.checkpoint.dir, which executors and driver share.
+
+    Where the setting is unset, a session on one machine gets a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
 
 
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives freed memory back to the system at its end, as workers live on through other tasks."""
+
+    def through(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return through
+
+
 class Workspace:
-    """Written intermediate tables of one operator call: they cut lineage and survive lost executors."""
+    """Written intermediate tables of one operator call: they cut lineage and survive lost executors.
+
+    An operator drops those that its answer doesn't read. The others may go once the answer has been
+    written: each call's are in a folder of its own, spark.checkpoint.dir/palimpsest-*, and drop() without a name removes it.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -33,9 +64,10 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str | None = None) -> None:
+        """Removes that table, or the whole folder."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -70,29 +102,42 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _hot_join(left: DataFrame, right: DataFrame, key: str, links: int) -> DataFrame:
+    """left with right's columns (a row a node) where left's key is right's node, else null.
+
+    Keys of very many rows are few; their rows meet right's by broadcast and aren't gathered in a task.
+    """
+    count = left.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("n_")).where(F.col("n_") > max(HOT_LINKS, links // HOT_PART))
+    hot = right.join(F.broadcast(count.select("node")), "node", "right").withColumn("hot_", F.lit(True))
+    marked = left.join(F.broadcast(hot).withColumnRenamed("node", key), key, "left")
+    rest = marked.where("hot_ is null").select(*left.columns).join(right.withColumnRenamed("node", key), key, "left")
+    return marked.where("hot_").drop("hot_").unionByName(rest)
+
+
 def connected_components(ws: Workspace, links: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (a, b); component is the least node reachable.
 
-    Alternating large-star and small-star rounds. Each is one grouped minimum and one join, each
-    round is written, and no group is ever gathered in a task. Nodes must be orderable, not null.
+    Alternating large-star and small-star rounds over links from greater to lesser nodes: grouped minima and
+    joins with them. Each round is written, and no group is ever gathered in a task. Nodes must be orderable, not null.
     """
     edges = ws.table(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before = None
+    before, n = None, edges.count()
     for turn in range(1, max_rounds + 1):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("x"), F.col("m"), F.col("a"))
-        small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        edges = ws.table(small.where("a <> b").distinct(), f"{name}-{turn}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # large star: a node's greater neighbours move on to its least one
+        least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        large = _hot_join(edges, least, "b", n).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = ws.table(large, f"{name}-{turn}-large")
+        # small star: a node and its lesser neighbours go to the least of these
+        down = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.max("b").alias("most"))
+        split = _hot_join(large, down.where("m < most").select("node", "m"), "a", n).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = ws.table(split.unionByName(down.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct(), f"{name}-{turn}")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        ws.drop(f"{name}-{turn}-large")
         ws.drop(f"{name}-{turn - 1}")
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -33,13 +33,15 @@ _powers: dict[bool, np.ndarray] = {}
 
 
 def _power(n: int, inverse: bool) -> np.ndarray:
-    """_BASE (or its inverse) to the powers below n, modulo 2 to the 64."""
-    if inverse not in _powers or len(_powers[inverse]) < n:
-        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
-        steps[0] = 1
-        _powers[inverse] = np.multiply.accumulate(steps)
-    return _powers[inverse][:n]
+    """_BASE (or its inverse) to the powers below n, modulo 2 to the 64; kept if there aren't too many."""
+    if inverse in _powers and len(_powers[inverse]) >= n:
+        return _powers[inverse][:n]
+    steps = np.full(max(n, 1 << 20), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+    steps[0] = 1
+    found = np.multiply.accumulate(steps)
+    if len(found) <= 1 << 22:
+        _powers[inverse] = found
+    return found[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, shuffle_partitions
+from palimpsest.llm.shared import Workspace, shuffle_partitions, thrifty
 
 #: A file is closed when it holds so many ids, so that one file fits a task's memory.
 FILE_TOKENS = 1_500_000
@@ -75,7 +75,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         if held:
             yield close()
 
-    return ordered.mapInArrow(write, "part long, file string, n_docs long, n_tokens long")
+    return ordered.mapInArrow(thrifty(write), "part long, file string, n_docs long, n_tokens long")
 
 
 def read_token_files(spark: SparkSession, folder: str, directory: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def read_token_files(spark: SparkSession, folder: str, directory: DataFrame) ->
     if not rows:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("content")
-    found = files.mapInArrow(read, "part long, doc_id long, within long, n_tokens long, ids binary")
+    found = files.mapInArrow(thrifty(read), "part long, doc_id long, within long, n_tokens long, ids binary")
     return found.join(F.broadcast(parts), "part").select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 

@@ -35,7 +35,7 @@ class WordEncoder:
     found and looked up by 64-bit hash for a batch of texts at once; the memory is emptied when it is full.
     """
 
-    def __init__(self, path: str, pieces: int = 1_000_000, pool_ids: int = 8_000_000):
+    def __init__(self, path: str, pieces: int = 300_000, pool_ids: int = 2_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, connected_components, lookup_join, shuffle_partitions
+from palimpsest.llm.shared import Workspace, connected_components, lookup_join, shuffle_partitions, thrifty
 
 #: Links need at least this cosine.
 COSINE = 0.98
@@ -57,7 +57,7 @@ def _units(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit, pa.binary()), pa.array(key, pa.binary())], names=["id", "label", "unit", "key"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
-    return rows.mapInArrow(run, "id long, label string, unit binary, key binary")
+    return rows.mapInArrow(thrifty(run), "id long, label string, unit binary, key binary")
 
 
 def _axes(classes: DataFrame, axes: int):
@@ -107,7 +107,7 @@ def _sequence(classes: DataFrame, axes, epsilon: float, block_bytes: int) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(seqs, pa.int64())], names=[*batch.schema.names, "block", "seq"])
 
     columns = "cid long, label string, d int, n long, unit binary, p array<double>"
-    placed = classes.select("cid", "label", "d", "n", "unit").mapInArrow(place, f"{columns}, cells array<int>")
+    placed = classes.select("cid", "label", "d", "n", "unit").mapInArrow(thrifty(place), f"{columns}, cells array<int>")
     order = ["label", "d", "cells", "cid"]
     placed = placed.repartitionByRange(shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order).drop("cells")
     return placed.mapInArrow(cut, f"{columns}, block long, seq long")
@@ -204,7 +204,7 @@ def _join_blocks(sequence: DataFrame, pairs: DataFrame, axes, epsilon: float, co
     sides = sides.where((F.col("s.side") == 0) | (F.col("a") != F.col("b"))).select("pair", "s.*")
     dealt = sequence.select("block", "seq", "cid", "n", "unit").join(sides, "block")
     dealt = dealt.repartition("pair").sortWithinPartitions("pair", "side", "seq").select("pair", "side", "cid", "n", "unit")
-    return dealt.mapInArrow(run, "cid long, root long, links long")
+    return dealt.mapInArrow(thrifty(run), "cid long, root long, links long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE,

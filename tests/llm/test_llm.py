@@ -187,7 +187,7 @@ def test_search_prunes():
 
 def test_mixing_odd(spark):
     docs = odd_docs(spark)
-    found = mixing.mixing_weights(docs, mixing._dimensions(), mixing.word_count(F.col("text")))
+    found = mixing.mixing_weights(docs, mixing._dimensions(docs), mixing.word_count(F.col("text")))
     assert found.count() == docs.count() and found.columns[: len(docs.columns)] == docs.columns
     rows = found.collect()
     assert all(not r[-1] and r[-2] == 0 for r in rows if not words(r["text"])) and max(r[-2] for r in rows) == 1.0
@@ -195,6 +195,20 @@ def test_mixing_odd(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_residual(spark):
+    """Targets that contradict each other are told of; a table without source and lang is mixed by form alone."""
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c d", "de", "t")], "doc_id long, text string, lang string, source string")
+    dims, size = {"lang": F.col("lang"), "source": F.col("source")}, mixing.word_count(F.col("text"))
+    share = lambda v, x: spark.createDataFrame([(v[0], x), (v[1], 1 - x)], "value string, share double")
+    against = {"lang": share(("en", "de"), 0.9), "source": share(("s", "t"), 0.1)}
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.mixing_weights(docs, dims, size, targets=against, max_residual=0.05)
+    with pytest.warns(UserWarning, match="from its target"):
+        mixing.mixing_weights(docs, dims, size, targets=against)
+    mixing.mixing_weights(docs, dims, size, targets={"lang": share(("en", "de"), 0.9), "source": share(("s", "t"), 0.9)}, max_residual=1e-6)
+    assert mixing.mixed(docs.select("doc_id", "text")).columns == ["doc_id", "text"]
+
+
 def test_mixing_rare(spark):
     """A document of a new source and language doesn't shrink the sample of the others; null ids are drawn apart."""
     rows = [(i, f"{i} " * 60, "en" if i % 3 else "de", f"s{i % 4}", 0) for i in range(4000)]
