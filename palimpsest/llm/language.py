@@ -32,20 +32,23 @@ BATCH_BYTES = 1 << 20
 
 
 def _trigrams(texts: list[bytes]):
-    """(owner, bin) of each trigram of letters; a run of other signs is one space, ASCII letters are lower-cased."""
+    """(owner, bin) of each trigram of letters; a run of other signs is one space, ASCII letters are lower-cased.
+
+    Two spaces stand before a text's first letter and after its last, so that its trigrams are its own whatever stands beside it.
+    """
     import numpy as np
 
     code = np.zeros(256, np.uint32)
     code[128:] = np.arange(128, 256)
     code[97:123] = code[65:91] = np.arange(97, 123)
-    data = code[np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)]
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    data = code[np.frombuffer(b"\n" + b"".join([b"\n" + t + b"\n" for t in texts]) + b"\n", np.uint8)]
+    lengths = np.array([len(t) + 2 for t in texts], np.int64)
+    owner = np.concatenate([[0], np.repeat(np.arange(len(texts)), lengths), [len(texts) - 1]])
     letters = data != 0
     keep = letters.copy()
     keep[1:] |= letters[:-1]
-    keep[0] = True
-    data, owner = data[keep], np.concatenate([owner[:1], owner])[keep]
+    keep[np.cumsum(lengths) - lengths + 1] = keep[0] = keep[-1] = True
+    data, owner = data[keep], owner[keep]
     mixed = (data[:-2] * np.uint32(65599) + data[1:-1]) * np.uint32(65599) + data[2:]
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     return owner[1:-1], (mixed >> np.uint32(7)) & np.uint32(BINS - 1)
@@ -236,7 +239,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of each row with lang_pred and score; und and 0 where the text is null or has no letter, or there is no model."""
+    """The columns `keep` of each row with lang_pred and score; und and 0 where the text is null or has no letter, or there is no model.
+
+    A text is judged by its own letters alone, so repeated rows get the same. Of equal votes the language with the
+    greater sum of chances is chosen, of equal sums the first by name. An empty table gives no rows.
+    """
     kept = docs.select(*keep)
     names = kept.columns
     if text_col not in names or kept.schema[text_col].dataType.typeName() != "string":
