@@ -13,6 +13,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+#: So many of a repeated row's copies are made at once.
+COPIES = 10_000
+
+
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 SHA-1: five hexadecimal digits at a time become four of base 32."""
     digits = F.sha1(payload)
@@ -50,7 +54,8 @@ def write_archive(ws: Workspace, pages: DataFrame, id_col: str = "page_id", url_
     one = held.groupBy("key").agg(F.max(F.struct("id", "url")).alias("first"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("sha1").alias("a"), F.max("sha1").alias("z"))
     same = (F.col("low") == F.col("high")) & (F.col("a") == F.col("z"))
     one = one.select("key", F.when(same, F.col("first")).otherwise(F.raise_error(F.lit("different payloads share a SHA-256"))).alias("first"))
-    each = held.join(one, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    each = held.join(one, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES + 1, F.least(F.col("copies"), (F.col("part") + 1) * COPIES))))
     response = (F.col("n") < min_revisit_bytes) | ((F.col("copy") == 1) & F.struct("id", "url").eqNullSafe(F.col("first")))
     name = lambda i, u, c: _uuid(F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(u, F.lit("-")), F.hex("key"), c)
     each = each.withColumn("response", response).select(
@@ -77,7 +82,8 @@ def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """Every record as it was: header fields, record (the exact bytes) and payload (a revisit's is its response's).
 
     Stored payloads are checked against their key; a header that disagrees with its payload's SHA-1
-    or that has no payload raises an error.
+    or that has no payload raises an error. Null URLs and ids are null again, null and empty payloads are both
+    empty, repeated records stay, an empty archive gives no rows.
     """
     sound = F.unhex(F.sha2("payload", 256)) == F.col("key")
     stored = payloads.select("key", F.when(sound, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a stored payload is damaged"))).alias("payload_bytes"),
@@ -96,15 +102,22 @@ def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     records, payloads = write_archive(ws, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_archive(records, payloads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archive(records, payloads).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), F.md5("record").alias("record_md5"))
 
 
 _GROUPS = " || ".join(f"substr('{BASE32}', ((('0x' || substr(h, {at}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for at in range(1, 41, 5) for shift in (15, 10, 5, 0))
+_ID = "regexp_replace(md5(concat_ws('|', CAST({i} AS VARCHAR), coalesce({u}, '-'), upper(sha256(body)), '1')), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '<urn:uuid:\\1-\\2-\\3-\\4-\\5>')"
 OP9_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
-w AS (SELECT body AS b, max(page_id) AS first FROM p GROUP BY body)
-SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_GROUPS} AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
-FROM p JOIN w ON body = b
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT body AS b, max(page_id) AS first, arg_max(url, page_id) AS first_url FROM p GROUP BY body),
+r AS (SELECT *, strlen(body) AS n, {_GROUPS} AS digest, page_id = first AS own, chr(13) || chr(10) AS eol FROM p JOIN w ON body = b),
+records AS (SELECT *, 'WARC/1.1' || eol || 'WARC-Type: ' || CASE WHEN own THEN 'response' ELSE 'revisit' END || eol || 'WARC-Record-ID: ' || {_ID.format(i='page_id', u='url')} || eol
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || eol || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || eol, '') || 'WARC-Payload-Digest: sha1:' || digest || eol
+    || 'X-Page-ID: ' || page_id || eol || CASE WHEN own THEN '' ELSE 'WARC-Profile: {REVISIT_PROFILE}' || eol || 'WARC-Refers-To: ' || {_ID.format(i='first', u='first_url')} || eol
+    || 'X-Refers-To-Page-ID: ' || first || eol END || 'Content-Type: text/html' || eol || 'Content-Length: ' || CASE WHEN own THEN n ELSE 0 END || eol || eol
+    || CASE WHEN own THEN body ELSE '' END || eol || eol AS record FROM r)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT own THEN first END AS refers_to, CAST(strlen(record) AS BIGINT) AS record_bytes, md5(record) AS record_md5
+FROM records
 """
