@@ -2,7 +2,7 @@
 
 Vectors are rotated to the principal axes of a bounded sample, put in the lexicographic order of their
 grid cells on the leading axes, and cut into blocks of that sequence. Blocks meet if their boxes lie
-within epsilon, found by an equal join on the first axis' cells; a task then joins the two sequences by
+within epsilon, found by an equal join on the cells of the first axes; a task then joins the two sequences by
 halving intervals and skipping those whose boxes are provably too far apart. The axes change only what
 is skipped, never a result.
 """
@@ -21,6 +21,8 @@ from palimpsest.llm.shared import Workspace, connected_components, lookup_join,
 COSINE = 0.98
 #: Leading axes whose cells order the vectors and whose boxes are compared.
 AXES = 6
+#: Axes whose cells the blocks of a group meet by, if it has more than FEW_BLOCKS; so few meet all.
+MEET_AXES, FEW_BLOCKS = 3, 8
 #: Vectors of which the axes are taken: at most so many and so many bytes.
 SAMPLE, SAMPLE_BYTES = 4096, 32 << 20
 #: Bytes of vectors in a block; a task holds two blocks. Intervals of at most LEAF vectors are compared.
@@ -117,12 +119,22 @@ def _block_pairs(sequence: DataFrame, axes: int, epsilon: float) -> DataFrame:
     """(a, b), a <= b: the blocks of one group whose boxes lie within epsilon."""
     p = [F.element_at("p", i + 1) for i in range(axes)]
     boxes = sequence.groupBy("block", "label", "d").agg(F.array(*map(F.min, p)).alias("lo"), F.array(*map(F.max, p)).alias("hi"))
-    cell = lambda side: F.floor(F.element_at(side, 1) / epsilon)
-    one = boxes.select("label", "d", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
-    two = boxes.select("label", "d", F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
+    counted = boxes.groupBy("label", "d").agg(F.count("*").alias("n"))
+    boxes = boxes.join(counted, ["label", "d"])
+    meet = [f"cell{i}" for i in range(min(MEET_AXES, axes))]
+
+    def met(name: str, lo: str, hi: str, more: int) -> DataFrame:
+        out = boxes.select("label", "d", "n", F.col("block").alias(name), F.col("lo").alias(lo), F.col("hi").alias(hi))
+        for i, cell in enumerate(meet, 1):
+            first, last = (F.floor(F.element_at(side, i) / epsilon) for side in (lo, hi))
+            few = F.col("n") <= FEW_BLOCKS
+            out = out.withColumn(cell, F.explode(F.sequence(F.when(few, 0).otherwise(first - more), F.when(few, 0).otherwise(last + more))))
+        return out.drop("n")
+
+    one, two = met("a", "alo", "ahi", 0), met("b", "blo", "bhi", 1)
     gap = F.zip_with(F.zip_with("blo", "ahi", lambda x, y: x - y), F.zip_with("alo", "bhi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= epsilon * epsilon * (1 + 1e-9)
-    return one.join(two, ["label", "d", "cell"]).where((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
+    return one.join(two, ["label", "d", *meet]).where((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
 
 
 def _join_blocks(sequence: DataFrame, pairs: DataFrame, axes, epsilon: float, cosine: float) -> DataFrame:
