@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len: i
                         size += n - whole
                 if size >= window_tokens:
                     fill()
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield flush()
         fill()
         finish()
