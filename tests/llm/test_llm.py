@@ -253,6 +253,47 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(odd, None, [F.col("text")]).collect()} == {"und"}
 
 
+def plain_language(raw, model):
+    """The language of a text by plain Python: trigram counts, a margin a classifier, the best family, then votes of its pairs."""
+    codes = [0, 0]
+    for run in bytes(raw).translate(bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))).split():
+        codes += [*run, 0]
+    codes.append(0)
+    counts = {}
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        x = ((a * 65599 + b) * 65599 + c) & 0xFFFFFFFF
+        x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        counts[(x >> 7) % language.BINS] = counts.get((x >> 7) % language.BINS, 0) + 1
+    total = sum(counts.values())
+    margins = [float(model.bias[k]) + sum((n / total) ** 0.5 * float(model.weights[i, k]) for i, n in counts.items()) for k in range(model.weights.shape[1])]
+    chances = [1 / (1 + np.exp(-3 * m)) for m in margins]
+    family, score = model.families[0], 1.0
+    if model.first_pair:
+        best = max(range(model.first_pair), key=lambda f: margins[f])
+        family, score = model.families[best], chances[best]
+    members = model.members[family]
+    votes, sums = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+    for (f, i, j), c in zip(model.pairs, chances[model.first_pair :], strict=True):
+        if f == family:
+            votes[members[i if c >= 0.5 else j]] += 1
+            sums[members[i]] += c
+            sums[members[j]] += 1 - c
+    best = max(members, key=lambda g: votes[g] + sums[g] / (2 * len(members)))
+    return best, score * (sums[best] / (len(members) - 1) if len(members) > 1 else 1.0)
+
+
+def test_language_brute_force(spark):
+    """Predictions equal those of plain Python, text by text, so they don't depend on the texts beside."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumn("lang", F.when((F.col("lang") == "en") & (F.col("doc_id") % 3 == 0), "nl").otherwise(F.col("lang")))
+    model = language.fit(docs)
+    assert len(model.pairs) > 1 and model.first_pair > 1
+    for r in language.predict(docs, model, [F.col("doc_id"), F.col("text")]).collect():
+        if r["text"] and language.has_letter(r["text"].encode()):
+            lang, score = plain_language(r["text"].encode(), model)
+            assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
 def test_language_many(spark):
     """70 labels are all learned, the rarest too, by tasks as by the driver; without labels the stage keeps its rows."""
     rng = random.Random(6)
@@ -323,6 +364,16 @@ def test_secrets_long(spark):
     assert len(text) > 1_000_000 and [(s["start"], s["kind"], s["end"]) for s in found] == sorted(want)
 
 
+def test_archive_copies(spark):
+    """Many copies of one row are a response and revisits, each with an id of its own; records' lengths and digests are those of their bytes."""
+    from palimpsest.llm.shared import Workspace
+
+    df = spark.range(25_000).select(F.lit(7).alias("page_id"), F.lit("u").alias("url"), F.lit("body").alias("html"))
+    back = archive.read_archive(*archive.write_archive(Workspace(spark), df))
+    kinds = {r["record_type"]: (r["n"], r["m"]) for r in back.groupBy("record_type").agg(F.count("*").alias("n"), F.count_distinct("record").alias("m")).collect()}
+    assert kinds == {"response": (1, 1), "revisit": (24_999, 24_999)}
+
+
 def test_archive_odd(spark):
     from palimpsest.llm.shared import Workspace
 
