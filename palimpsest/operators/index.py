@@ -27,7 +27,7 @@ def partition_counts(df: DataFrame, partition: str) -> DataFrame:
 def merge_delta(base: DataFrame, delta: DataFrame, keys: list[str], sequence: str = "seq", op: str = "op") -> DataFrame:
     """The index after an online build: base entries with the last recorded change of each (keys, row id) applied."""
     entry = [*keys, "_rid"]
-    last = delta.withColumn("_n", F.row_number().over(Window.partitionBy(*entry).orderBy(F.desc(sequence)))).where("_n = 1").drop("_n")
+    last = delta.groupBy(*entry).agg(F.max_by(op, sequence).alias(op))
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"d.{c}")) for c in entry]
     untouched = base.alias("b").join(last.alias("d"), same, "left_anti")
     return untouched.select(*entry).unionByName(last.where(F.col(op) == "INSERT").select(*entry))

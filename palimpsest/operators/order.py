@@ -17,31 +17,72 @@ def key(column: str, desc: bool = False, nulls_first: bool = False) -> Column:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the session's shared folder; a folder is made only where none is set, as in tests."""
+    """df, checkpointed in the folder that executors and driver share; one machine gets a temporary one where none is set."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return df.checkpoint()
 
 
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df dealt by range and sorted within partitions, written, with _part and _at: the partition, and the place in it from 1."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id())
+    return written(ranged).withColumn("_part", F.shiftright("_seq", 33).cast("int")).withColumn("_at", F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_seq")
+
+
 def running(df: DataFrame, order: list[Column], value: Column | None = None, position: str = "position", before: str = "before") -> DataFrame:
     """df with its place in the order (from 1) and, if value is given, the sum of value over all rows before.
 
     Rows are dealt by range and sorted within partitions; one row a partition carries the counts that
-    precede it. The order must be total, else ties are placed arbitrarily.
+    precede it, and only sums need a window over each partition's rows. The order must be total, else ties
+    are placed arbitrarily.
     """
     v = (value if value is not None else F.lit(0)).cast("long")
-    ranged = df.withColumn("_v", v).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
+    ranged = _ranged(df.withColumn("_v", v), order)
     sums = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))
-    within = Window.partitionBy("_part").orderBy("_seq")
-    placed = ranged.withColumn("_at", F.row_number().over(within)).withColumn("_sum", F.sum("_v").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v"))
-    placed = placed.join(F.broadcast(offsets), "_part").withColumn(position, (F.col("_at") + F.col("_n")).cast("long"))
     if value is not None:
-        placed = placed.withColumn(before, F.col("_sum") + F.col("_s"))
-    return placed.drop("_part", "_seq", "_v", "_n", "_s", "_at", "_sum")
+        within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        ranged = ranged.withColumn("_sum", F.sum("_v").over(within) - F.col("_v"))
+    placed = ranged.join(F.broadcast(offsets), "_part").withColumn(position, (F.col("_at") + F.col("_n")).cast("long"))
+    if value is not None:
+        placed = placed.withColumn(before, F.col("_sum") + F.col("_s")).drop("_sum")
+    return placed.drop("_part", "_v", "_n", "_s", "_at")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """df with each row's place within its group, from 1; a group of any size is spread over range partitions.
+
+    Only groups that stand in several partitions need what precedes: two a partition at most, so they are broadcast.
+    """
+    ranged = _ranged(df, [F.col(c) for c in (*group, *order)])
+    parts = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    edges = ranged.groupBy("_part").agg(F.max("_at").alias("_last"))
+    crossing = parts.join(F.broadcast(edges), "_part").where((F.col("_first") == 1) | (F.col("_first") + F.col("_n") - 1 == F.col("_last")))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = crossing.select(*group, "_part", F.sum("_n").over(earlier).alias("_before")).where("_before is not null")
+    placed = ranged.join(parts.select(*group, "_part", "_first"), [*group, "_part"]).join(F.broadcast(crossing), [*group, "_part"], "left")
+    return placed.withColumn(name, F.col("_at") - F.col("_first") + 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_at", "_first", "_before")
+
+
+def last_before(df: DataFrame, group: list[str], order: list[str], values: Column, name: str) -> DataFrame:
+    """df with the last value that isn't null up to and with each row, in order within its group; null if there is none.
+
+    Rows are dealt by range, so a group may have any size; each partition's last value, a row a partition, is carried on.
+    """
+    own = F.struct(*group).alias("_g")
+    ranged = _ranged(df.withColumn("_value", values), [F.col(c) for c in (*group, *order)])
+    held = F.when(F.col("_value").isNotNull(), F.struct(own, F.col("_value").alias("v")))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranged.where("_value is not null").groupBy("_part").agg(F.max_by(F.struct(own, F.col("_value").alias("v")), "_at").alias("_carried"))
+    every = ranged.select("_part").distinct().join(parts, "_part", "left")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("_part", F.last("_carried", ignorenulls=True).over(earlier).alias("_carried"))
+    found = ranged.withColumn("_last", F.last(held, ignorenulls=True).over(within)).join(F.broadcast(carried), "_part").withColumn("_last", F.coalesce("_last", "_carried"))
+    return found.withColumn(name, F.when(F.col("_last._g").eqNullSafe(F.struct(*group)), F.col("_last.v"))).drop("_part", "_at", "_value", "_last", "_carried")
 
 
 def first_row(df: DataFrame, order: list[Column]) -> DataFrame:

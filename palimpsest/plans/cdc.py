@@ -20,9 +20,9 @@ def _changes(spark, d):
     return event_changes(table(spark, d, "events"))
 
 
-@query("cdc_reassemble", f"{CHANGES_SQL} SELECT xid, count(*) AS n_changes, min(lsn) AS first_lsn, max(lsn) AS last_lsn, string_agg(op, ',' ORDER BY lsn) AS ops FROM c GROUP BY xid")
+@query("cdc_reassemble", f"{CHANGES_SQL} SELECT xid, lsn, op, row_number() OVER (PARTITION BY xid ORDER BY lsn) AS nth FROM c")
 def cdc_reassemble(spark, d):
-    return cdc.reassemble(_changes(spark, d))
+    return cdc.reassemble(_changes(spark, d)).select("xid", "lsn", "op", "nth")
 
 
 @query("cdc_commit_order", f"{_ORDERED} SELECT * FROM o")
@@ -51,13 +51,29 @@ SELECT csn, xid, CAST(line AS INTEGER) AS line, 'table public.events ' || op ||
 UNION ALL SELECT csn, xid, 0, 'BEGIN ' || xid FROM t WHERE NOT aborted UNION ALL SELECT csn, xid, CAST(n + 1 AS INTEGER), 'COMMIT ' || xid FROM t WHERE NOT aborted""")
 def cdc_text(spark, d):
     changes = _changes(spark, d)
-    return cdc.decode(changes, cdc.commits(changes), cdc.change_text("public.events", COLUMNS, ["user_id"]))
+    return cdc.decode(changes, cdc.commits(changes), cdc.text_plugin("public.events", COLUMNS, ["user_id"]))
 
 
-@query("cdc_schema_asof", f"{CHANGES_SQL} SELECT lsn, CASE WHEN lsn > 7000 THEN 7000 WHEN lsn > 3000 THEN 3000 ELSE 10 END AS table_csn, CASE WHEN lsn > 7000 THEN 'v3' WHEN lsn > 3000 THEN 'v2' ELSE 'v1' END AS definition FROM c WHERE lsn > 10")
+@query("cdc_text_options", f"""{CHANGES_SQL}, e AS (SELECT xid, csn, n FROM t WHERE NOT aborted AND xid % 4 > 0), k AS (SELECT csn, xid, row_number() OVER (PARTITION BY xid ORDER BY lsn) AS line, op, nullif(user_id, user_id // 3 * 3) AS u, nullif(event_type, 'click') AS e, cents
+FROM c JOIN e USING (xid)), s AS (SELECT *, 'user_id[bigint]:' || u AS old, concat_ws(' ', 'user_id[bigint]:' || u, 'event_type[text]:' || chr(39) || e || chr(39), 'cents[bigint]:' || cents) AS new FROM k)
+SELECT csn, xid, CAST(line AS INTEGER) AS line, 'table public.events ' || op || ': ' || CASE op WHEN 'INSERT' THEN new WHEN 'UPDATE' THEN 'old-key: ' || coalesce(old, '') || ' new-tuple: ' || new ELSE coalesce(old, '(no-tuple-data)') END AS text FROM s
+UNION ALL SELECT csn, xid, 0, 'BEGIN' FROM e UNION ALL SELECT csn, xid, CAST(n + 1 AS INTEGER), 'COMMIT' FROM e""")
+def cdc_text_options(spark, d):
+    """Without xids, and without the columns that are null; a deletion whose key is null has no tuple. Empty transactions give nothing."""
+    changes = _changes(spark, d)
+    committed = cdc.commits(changes).where("xid % 4 > 0").unionByName(spark.createDataFrame([(-1, -1, 0)], "xid long, csn long, n_changes long"))
+    changes = changes.withColumn("user_id", F.nullif("user_id", F.floor(F.col("user_id") / 3) * 3)).withColumn("event_type", F.nullif("event_type", F.lit("click")))
+    return cdc.decode(changes, committed, cdc.text_plugin("public.events", COLUMNS, ["user_id"], include_xids=False, skip_nulls=True), skip_empty=True)
+
+
+_DICTIONARY = [(0, -1, "a1"), (0, 3000, "a2"), (0, 7000, "a3"), (1, 0, "b1"), (1, 3001, "b2"), (1, 3004, "b3"), (2, -5, "c1")]
+
+
+@query("cdc_schema_asof", f"""{CHANGES_SQL}, d AS (SELECT * FROM (VALUES {', '.join(f"({t}, {n}, '{x}')" for t, n, x in _DICTIONARY)}) d(t, n, x))
+SELECT lsn, lsn % 3 AS table_id, max(n) AS table_csn, arg_max(x, n) AS definition FROM c JOIN d ON t = lsn % 3 AND n < lsn GROUP BY lsn""")
 def cdc_schema_asof(spark, d):
-    dictionary = spark.createDataFrame([(10, "v1"), (3000, "v2"), (7000, "v3")], "table_csn int, definition string")
-    return cdc.with_schema_version(_changes(spark, d), dictionary).select("lsn", "table_csn", "definition")
+    dictionary = spark.createDataFrame(_DICTIONARY, "table_id long, table_csn int, definition string")
+    return cdc.with_schema_version(_changes(spark, d).withColumn("table_id", F.col("lsn") % 3), dictionary).select("lsn", "table_id", "table_csn", "definition")
 
 
 @query("cdc_apply", f"""{CHANGES_SQL}, l AS (SELECT c.*, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS k FROM c JOIN t USING (xid) WHERE NOT t.aborted)

@@ -6,14 +6,13 @@ ordered running sums, so they hold for any number of transactions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import quote
-from palimpsest.operators.order import running
-
-#: A dictionary of at most so many table versions is broadcast.
-DICTIONARY_ROWS = 100_000
+from palimpsest.operators.order import last_before, numbered, running
 
 
 def commits(changes: DataFrame) -> DataFrame:
@@ -22,10 +21,8 @@ def commits(changes: DataFrame) -> DataFrame:
 
 
 def reassemble(changes: DataFrame) -> DataFrame:
-    """One row a transaction: its changes in order of arrival. A transaction is a bounded group: it was one writer's memory."""
-    return changes.groupBy("xid").agg(
-        F.count("*").alias("n_changes"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lsn", "op"))), lambda x: x["op"]), ",").alias("ops"))
+    """changes (xid, lsn, ...) by transaction: each with its place in it, nth, in order of arrival. A transaction of any size stays spread."""
+    return numbered(changes, ["xid"], ["lsn"])
 
 
 def after_slot(committed: DataFrame, confirmed_csn: int) -> DataFrame:
@@ -61,25 +58,51 @@ def change_text(relation: str, columns: dict[str, str], key: list[str], skip_nul
                     .when(F.coalesce(old, F.lit("")) == "", "(no-tuple-data)").otherwise(old))
 
 
-def decode(changes: DataFrame, committed: DataFrame, text: Column) -> DataFrame:
-    """(csn, xid, line, text): BEGIN, the changes and COMMIT of each transaction; line counts from 0 within it."""
-    held = changes.withColumn("text", text).join(committed.select("xid", "csn", "n_changes"), "xid").groupBy("csn", "xid", "n_changes").agg(F.array_sort(F.collect_list(F.struct("lsn", "text"))).alias("held"))
-    every = F.concat(F.array(F.concat(F.lit("BEGIN "), F.col("xid"))), F.transform("held", lambda x: x["text"]), F.array(F.concat(F.lit("COMMIT "), F.col("xid"))))
-    return held.select("csn", "xid", F.posexplode(every).alias("line", "text"))
+@dataclass(frozen=True)
+class Plugin:
+    """What a decoded transaction gives out: an expression over its xid and csn at its begin and commit, and one over each change."""
+
+    begin: Column
+    change: Column
+    commit: Column
+
 
+def text_plugin(relation: str, columns: dict[str, str], key: list[str], include_xids: bool = True, skip_nulls: bool = False) -> Plugin:
+    """Changes as lines of text; BEGIN and COMMIT carry the xid unless include_xids is off."""
+    edge = lambda word: F.concat(F.lit(f"{word} "), F.col("xid").cast("string")) if include_xids else F.lit(word)
+    return Plugin(edge("BEGIN"), change_text(relation, columns, key, skip_nulls), edge("COMMIT"))
 
-def with_schema_version(changes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """changes with the newest dictionary row (table_csn, definition) strictly below each lsn; rows that have none go.
 
-    The dictionary becomes intervals and is broadcast; one of more than DICTIONARY_ROWS is refused.
+def decode(changes: DataFrame, committed: DataFrame, plugin: Plugin, skip_empty: bool = False) -> DataFrame:
+    """(csn, xid, line, text): begin, the changes and commit of each transaction; line counts from 0 within it.
+
+    Transactions without changes give begin and commit alone, or nothing if skip_empty. Rows stay rows, so a
+    transaction may have any number of changes.
     """
-    from pyspark.sql import Window
+    whole = committed.where("n_changes > 0") if skip_empty else committed
+    rows = reassemble(changes.join(whole.select("xid", "csn"), "xid")).select("csn", "xid", F.col("nth").cast("int").alias("line"), plugin.change.alias("text"))
+    begin = whole.select("csn", "xid", F.lit(0).alias("line"), plugin.begin.alias("text"))
+    commit = whole.select("csn", "xid", (F.col("n_changes") + 1).cast("int").alias("line"), plugin.commit.alias("text"))
+    return begin.unionByName(rows).unionByName(commit)
+
 
-    span = dictionary.withColumn("until", F.lead("table_csn").over(Window.orderBy("table_csn")))
-    if dictionary.limit(DICTIONARY_ROWS + 1).count() > DICTIONARY_ROWS:
-        raise ValueError(f"the dictionary has more than {DICTIONARY_ROWS} versions")
-    inside = (F.col("lsn") > F.col("table_csn")) & (F.col("until").isNull() | (F.col("lsn") <= F.col("until")))
-    return changes.join(F.broadcast(span), inside).drop("until")
+def with_schema_version(changes: DataFrame, dictionary: DataFrame, table: str = "table_id", missing: str = "error") -> DataFrame:
+    """changes with table_csn and definition: the newest dictionary row of their table whose table_csn is strictly below their lsn.
+
+    A change without such a row is an error; with missing="null" it stays with nulls. Both are put in one
+    order by table and position, so neither the dictionary nor a table's changes are gathered anywhere.
+    """
+    held = F.struct(*[c for c in changes.columns])
+    rows = changes.select(F.col(table).alias("_table"), F.col("lsn").alias("_pos"), F.lit(0).alias("_kind"), held.alias("_change"),
+                          F.lit(None).cast(dictionary.schema["table_csn"].dataType).alias("table_csn"), F.lit(None).cast(dictionary.schema["definition"].dataType).alias("definition"))
+    versions = dictionary.select(F.col(table).alias("_table"), F.col("table_csn").cast("long").alias("_pos"), F.lit(1).alias("_kind"),
+                                 F.lit(None).cast(rows.schema["_change"].dataType).alias("_change"), "table_csn", "definition")
+    version = F.when(F.col("_kind") == 1, F.struct("table_csn", "definition"))
+    found = last_before(rows.unionByName(versions), ["_table"], ["_pos", "_kind"], version, "_version").where("_kind = 0")
+    if missing == "error":
+        lost = F.raise_error(F.concat(F.lit("no visible definition of table "), F.coalesce(F.col("_table").cast("string"), F.lit("null")), F.lit(" at "), F.col("_pos").cast("string")))
+        found = found.withColumn("_version", F.when(F.col("_version").isNull(), lost).otherwise(F.col("_version")))
+    return found.select("_change.*", "_version.table_csn", "_version.definition")
 
 
 def apply_changes(changes: DataFrame, committed: DataFrame, key: str, payload: list[str]) -> DataFrame:

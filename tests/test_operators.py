@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators.order import running
+from palimpsest.operators.order import last_before, numbered, running
 from palimpsest.operators.scan import Key, scan, simplify
 from palimpsest.operators.sequences import Sequence
 from palimpsest.operators.transactions import Conflict, Relation
 from palimpsest.operators.versions import as_of, flashback
+from palimpsest.streaming.cdc import with_schema_version
 from palimpsest.streaming.slots import Slot, emit_ready, stream
 
 VERSION = "_rid long, _ver int, _begin_xid long, _begin_csn long, _begin_cid long, _end_xid long, _end_csn long, _end_cid long, x string"
@@ -139,5 +140,49 @@ def test_slot_stream(spark, tmp_path):
         stream(spark, spark.readStream.schema(RECORD).parquet(source), slot, f"{tmp_path}/out").awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out").orderBy("csn", "lsn").collect()
     assert [(r["xid"], r["csn"], r["lsn"]) for r in out] == [(2, 7, 2), (1, 9, 1), (1, 9, 4)]
-    assert slot.confirmed_csn == 9
+    assert slot.confirmed_csn == 9 and slot.start_point() == {"confirmed": 9, "restart_lsn": None}
+    slot.acquire()
+    with pytest.raises(RuntimeError, match="in use"):
+        slot.acquire()
+    slot.release()
     slot.drop()
+
+
+def test_slot_stream_restarts(spark, tmp_path):
+    """A batch that stopped between its state and the stream's commit runs again and loses nothing; old states go."""
+    source, slot = f"{tmp_path}/in", Slot(spark, f"file://{tmp_path}/slot")
+    parts = [[(1, 1, "ROW", None, "INSERT"), (2, 2, "ROW", None, "INSERT"), (3, 2, "COMMIT", 7, None)], [(4, 1, "ROW", None, "UPDATE"), (5, 1, "COMMIT", 9, None), (6, 3, "ROW", None, "INSERT")],
+             [(7, 3, "COMMITTING", 12, None), (8, 4, "ROW", None, "INSERT"), (9, 4, "COMMIT", 13, None)], [(10, 3, "COMMIT", 12, None)]]
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, RECORD).coalesce(1).write.mode("append").parquet(source)
+        for again in (False, True):
+            stream(spark, spark.readStream.schema(RECORD).parquet(source), slot, f"{tmp_path}/out").awaitTermination()
+            if not again:
+                for name in (f"{number}", f".{number}.crc"):
+                    (tmp_path / "slot/checkpoint/commits" / name).unlink()
+        if number == 2:
+            assert slot.start_point() == {"confirmed": 9, "restart_lsn": 6}
+    out = spark.read.parquet(f"{tmp_path}/out").orderBy("csn", "lsn").collect()
+    assert [(r["xid"], r["csn"], r["lsn"]) for r in out] == [(2, 7, 2), (1, 9, 1), (1, 9, 4), (3, 12, 6), (4, 13, 8)]
+    assert slot.confirmed_csn == 13 and len(list((tmp_path / "slot/state").glob("[0-9]*"))) == 2 and len(list((tmp_path / "slot").glob("waiting-*"))) == 2
+    slot.advance(20)
+    assert slot.confirmed_csn == 20
+
+
+def test_numbered_and_last_before(spark):
+    """Groups larger than a partition, single rows, nulls before the first value and rows of a group without any."""
+    df = spark.range(3000).select((F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 100)).alias("g"), F.col("id").alias("k"), F.when(F.col("id") % 900 == 5, F.col("id")).alias("v")).repartition(7)
+    want_nth, want_last, nth, last = {}, {}, {}, {}
+    for r in sorted(df.collect(), key=lambda r: r["k"]):
+        nth[r["g"]] = want_nth[r["k"]] = nth.get(r["g"], 0) + 1
+        last[r["g"]] = want_last[r["k"]] = r["v"] if r["v"] is not None else last.get(r["g"])
+    assert {r["k"]: r["nth"] for r in numbered(df, ["g"], ["k"]).collect()} == want_nth
+    assert {r["k"]: r["x"] for r in last_before(df, ["g"], ["k"], F.col("v"), "x").collect()} == want_last
+
+
+def test_schema_version_missing(spark):
+    changes, dictionary = spark.createDataFrame([(5, 1), (9, 1), (9, 2)], "lsn long, table_id long"), spark.createDataFrame([(1, 5, "a")], "table_id long, table_csn long, definition string")
+    found = {(r["lsn"], r["table_id"]): r["definition"] for r in with_schema_version(changes, dictionary, missing="null").collect()}
+    assert found == {(5, 1): None, (9, 1): "a", (9, 2): None}
+    with pytest.raises(Exception, match="no visible definition of table"):
+        with_schema_version(changes, dictionary).collect()
