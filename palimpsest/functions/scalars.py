@@ -29,8 +29,52 @@ def int_in(text: Column) -> Column:
     return F.when(text.isNotNull(), F.coalesce(digits.try_cast("long"), F.lit(0).cast("long")))
 
 
-def float_out(value: Column) -> Column:
-    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity").otherwise(value.cast("string"))
+def float_in(text: Column) -> Column:
+    """The number that a text begins with, after white space, as a double; inf and nan by name; 0 if it begins with none."""
+    number = F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
+    named = F.lower(F.regexp_extract(text, r"^\s*([+-]?(?i:inf|nan))", 1))
+    special = F.when(F.endswith(named, F.lit("nan")), float("nan")).when(F.endswith(named, F.lit("inf")), F.when(F.startswith(named, F.lit("-")), float("-inf")).otherwise(float("inf")))
+    return F.when(text.isNotNull(), F.coalesce(special, number.try_cast("double"), F.lit(0.0)))
+
+
+def oid_in(text: Column) -> Column:
+    """int_in, kept to 32 bits without a sign."""
+    return F.pmod(int_in(text), F.lit(1 << 32))
+
+
+def char_in(text: Column) -> Column:
+    """The first character."""
+    return F.substring(text, 1, 1)
+
+
+def varchar_out(text: Column) -> Column:
+    """A text as it is, spaces at its end too."""
+    return text.cast("string")
+
+
+def general(value: Column, digits: int) -> Column:
+    """A finite number with so many significant digits at most, as C's %.*g: plain from 1e-4 to below 10 ** digits, else with an exponent; no zeros at the end.
+
+    Digits are rounded from the shortest decimal that stands for the number.
+    """
+    shown = F.format_string(f"%.{digits - 1}e", value)
+    sign = F.when(F.startswith(shown, F.lit("-")), "-").otherwise("")
+    bare = F.regexp_replace(F.regexp_extract(shown, r"^-?([0-9.]+)e", 1), r"\.", "")
+    exponent = F.regexp_extract(shown, r"e([+-][0-9]+)$", 1).cast("int")
+    some = F.regexp_replace(bare, "0+$", "")
+    point = lambda whole, rest: F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), some)
+    above = point(F.rpad(F.substring(some, F.lit(1), exponent + 1), exponent + 1, F.lit("0")), F.substring(some, exponent + 2, F.lit(digits)))
+    power = F.concat(point(F.substring(some, 1, 1), F.substring(some, 2, digits)), F.lit("e"), F.regexp_extract(shown, r"e([+-][0-9]+)$", 1))
+    return F.when(some == "", F.concat(sign, F.lit("0"))).when((exponent < -4) | (exponent >= digits), F.concat(sign, power)).when(exponent < 0, F.concat(sign, below)).otherwise(F.concat(sign, above))
+
+
+#: Significant digits of doubles and floats as text.
+DOUBLE_DIGITS, FLOAT_DIGITS = 16, 7
+
+
+def float_out(value: Column, digits: int = DOUBLE_DIGITS) -> Column:
+    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity").otherwise(general(value, digits))
 
 
 def three_way(a: Column, b: Column) -> Column:

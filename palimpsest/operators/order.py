@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,13 +17,24 @@ def key(column: str, desc: bool = False, nulls_first: bool = False) -> Column:
     return c.asc_nulls_first() if nulls_first else c.asc_nulls_last()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that executors and driver share; one machine gets a temporary one where none is set."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def _shared(spark: SparkSession) -> str:
+    """The folder that executors and driver share; one machine gets a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{_shared(spark).rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

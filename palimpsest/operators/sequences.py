@@ -41,6 +41,11 @@ class Sequence:
         last = self.draw(spark, blocks).where("value is not null").orderBy(F.desc("n")).first()
         return replace(self, last_value=last["value"], is_called=True) if last else self
 
+    def row(self, spark: SparkSession) -> DataFrame:
+        """The sequence's state as a row."""
+        types = "last_value long, is_called boolean, increment long, min_value long, max_value long, cache long, cycle boolean"
+        return spark.createDataFrame([(self.last_value, self.is_called, self.increment, self.min_value, self.max_value, self.cache, self.cycle)], types)
+
     def set(self, value: int, is_called: bool = True) -> Sequence:
         if not self.min_value <= value <= self.max_value:
             raise ValueError(f"{value} is out of bounds")

@@ -67,6 +67,11 @@ class Transaction:
     def delete(self, rids: DataFrame) -> None:
         self._write(rids, "DELETE")
 
+    def rollback_statement(self) -> None:
+        """Takes back the last write, as after a conflict of an insert; the transaction goes on."""
+        self.staged.pop()
+        self.savepoints = [(name, min(at, len(self.staged))) for name, at in self.savepoints]
+
     def _applied(self, csn: int | None) -> DataFrame:
         return reduce(lambda v, w: apply_writes(v, w, self.xid, csn, self.relation.payload), self.staged, self.relation.versions)
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERSION = ["_rid", "_ver"]
+VERSION, BEGIN, END = ["_rid", "_ver"], ["_begin_xid", "_begin_csn", "_begin_cid"], ["_end_xid", "_end_csn", "_end_cid"]
 
 
 @dataclass(frozen=True)
@@ -67,36 +67,72 @@ def block_statistics(versions: DataFrame, rows_per_block: int) -> DataFrame:
     return versions.groupBy(block).agg(F.count_if(live).alias("live"), F.count_if(~live).alias("dead"))
 
 
+def newest(versions: DataFrame, rids: DataFrame, columns: list[str]) -> DataFrame:
+    """(_rid, v): the newest version, a struct of those columns, of each of the given row ids; only their versions are grouped."""
+    return versions.join(rids.select("_rid").distinct(), "_rid", "left_semi").groupBy("_rid").agg(F.max_by(F.struct(*columns), "_ver").alias("v"))
+
+
 def write_verdicts(writes: DataFrame, versions: DataFrame, snapshot: Snapshot) -> DataFrame:
     """writes (_rid) with verdict: what a writer with that snapshot finds in each row's newest version.
 
-    `missing`, `invisible` (not committed by another), `self_created`, `self_modified`, `updated` or
-    `deleted` (committed since the snapshot), else `ok`.
+    `missing`, `invisible` (not committed by another), `self_created`, `self_modified`, `being_modified` (ended
+    by another that hasn't committed), `updated` or `deleted` (committed since the snapshot), else `ok`.
     """
-    newest = versions.groupBy("_rid").agg(F.max(F.struct("_ver", "_begin_xid", "_begin_csn", "_end_xid", "_end_csn")).alias("v"))
+    last = newest(versions, writes, ["_ver", "_begin_xid", "_begin_csn", "_end_xid", "_end_csn"])
     mine = F.lit(-1 if snapshot.xid is None else snapshot.xid)
     late = F.lit(False) if snapshot.csn is None else F.col("v._begin_csn") >= snapshot.csn
-    verdict = (F.when(F.col("v").isNull(), "missing").when(F.col("v._end_xid") == mine, "self_modified").when(F.col("v._end_xid").isNotNull(), "deleted")
+    verdict = (F.when(F.col("v").isNull(), "missing").when(F.col("v._end_xid") == mine, "self_modified")
+               .when(F.col("v._end_xid").isNotNull() & F.col("v._end_csn").isNull(), "being_modified").when(F.col("v._end_xid").isNotNull(), "deleted")
                .when(F.col("v._begin_xid") == mine, "self_created").when(F.col("v._begin_csn").isNull(), "invisible")
                .when(late & (F.col("v._ver") > 1), "updated").when(late, "invisible").otherwise("ok"))
-    return writes.join(newest, "_rid", "left").select(*writes.columns, verdict.alias("verdict"))
+    return writes.join(last, "_rid", "left").select(*writes.columns, verdict.alias("verdict"))
 
 
-def apply_writes(versions: DataFrame, writes: DataFrame, xid: int, csn: int | None, payload: list[str]) -> DataFrame:
-    """versions after one transaction's writes (_rid, op, _cid, payload; one per row): update and delete end the live version.
+def row_changes(versions: DataFrame, writes: DataFrame, xid: int, csn: int | None, payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(begun, ended) of one transaction's writes (_rid, op, _cid, payload; one per row).
 
-    Inserts and updates begin a new one; csn None leaves the transaction uncommitted.
+    begun are new versions; ended are the live versions that updates and deletes end, with their marks and
+    the payload that they had: a statement's old rows. csn None leaves both uncommitted. Versions are only
+    read for the rows that are written.
     """
-    ended = writes.where(F.col("op") != "INSERT").select("_rid", F.col("_cid").alias("_by"))
-    at = F.lit(csn).cast("long")
-    joined = versions.join(ended, "_rid", "left")
-    hit = F.col("_by").isNotNull() & F.col("_end_xid").isNull()
-    closed = joined.select(
-        "_rid", "_ver", "_begin_xid", "_begin_csn", "_begin_cid", F.when(hit, F.lit(xid)).otherwise(F.col("_end_xid")).cast("long").alias("_end_xid"),
-        F.when(hit, at).otherwise(F.col("_end_csn")).alias("_end_csn"), F.when(hit, F.col("_by")).otherwise(F.col("_end_cid")).cast("long").alias("_end_cid"), *payload)
-    last = versions.groupBy("_rid").agg(F.max("_ver").alias("_last"))
-    none = F.lit(None).cast("long")
+    at, none = F.lit(csn).cast("long"), F.lit(None).cast("long")
+    touched = versions.join(writes.select("_rid").distinct(), "_rid", "left_semi")
+    by = writes.where(F.col("op") != "INSERT").select("_rid", F.col("op").alias("_op"), F.col("_cid").alias("_by"))
+    ended = touched.where(F.col("_end_xid").isNull()).join(by, "_rid").select(
+        "_rid", "_ver", "_op", F.lit(xid).cast("long").alias("_end_xid"), at.alias("_end_csn"), F.col("_by").cast("long").alias("_end_cid"), *payload)
+    last = touched.groupBy("_rid").agg(F.max("_ver").alias("_last"))
     begun = writes.where(F.col("op") != "DELETE").join(last, "_rid", "left").select(
         "_rid", (F.coalesce("_last", F.lit(0)) + 1).cast("int").alias("_ver"), F.lit(xid).cast("long").alias("_begin_xid"), at.alias("_begin_csn"),
         F.col("_cid").cast("long").alias("_begin_cid"), none.alias("_end_xid"), none.alias("_end_csn"), none.alias("_end_cid"), *payload)
-    return closed.unionByName(begun)
+    return begun, ended
+
+
+def marked(versions: DataFrame, ended: DataFrame) -> DataFrame:
+    """versions with the end marks (_rid, _ver, _end_xid, _end_csn, _end_cid) of those that have none yet."""
+    marks = ended.select("_rid", "_ver", *(F.col(c).alias(f"_m{c}") for c in END))
+    hit = F.col("_end_xid").isNull() & F.col("_m_end_xid").isNotNull()
+    return versions.join(marks, VERSION, "left").select(*(F.when(hit, F.col(f"_m{c}")).otherwise(F.col(c)).alias(c) if c in END else F.col(c) for c in versions.columns))
+
+
+def apply_writes(versions: DataFrame, writes: DataFrame, xid: int, csn: int | None, payload: list[str]) -> DataFrame:
+    """versions after one transaction's writes: update and delete end the live version, insert and update begin a new one."""
+    begun, ended = row_changes(versions, writes, xid, csn, payload)
+    return marked(versions, ended).select(*VERSION, *BEGIN, *END, *payload).unionByName(begun)
+
+
+def identity(ended: DataFrame, key: list[str]) -> DataFrame:
+    """(_rid, op, identity): what a replica needs to find the rows that were ended, a struct of their old key columns."""
+    return ended.select("_rid", F.col("_op").alias("op"), F.struct(*key).alias("identity"))
+
+
+def lock_rows(versions: DataFrame, snapshot: Snapshot, columns: list[str]) -> DataFrame:
+    """(_rid, _ver, found, columns): for each row that the snapshot sees, what a reader for update gets.
+
+    `unchanged`: the version seen is still the newest, and is given; `newest`: another has replaced it, and that is
+    given; `gone`: the newest has been ended as well, and the version seen is given.
+    """
+    seen = versions.where(snapshot.visible()).select("_rid", F.struct("_ver", *columns).alias("s"))
+    both = seen.join(newest(versions, seen, ["_ver", "_end_xid", *columns]), "_rid")
+    found = F.when(F.col("v._end_xid").isNotNull(), "gone").when(F.col("s._ver") == F.col("v._ver"), "unchanged").otherwise("newest")
+    given = lambda c: F.when(F.col("found") == "newest", F.col(f"v.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    return both.withColumn("found", found).select("_rid", given("_ver"), "found", *(given(c) for c in columns))

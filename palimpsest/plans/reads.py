@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import aggregates, index
 from palimpsest.operators.order import first_row, key, running
 from palimpsest.operators.scan import Key, block_of, fetch, sample_blocks, scan, simplify
+from palimpsest.operators.versions import Snapshot
 from palimpsest.plans.register import Registry
-from palimpsest.sources.tables import relations, table
+from palimpsest.sources.tables import VERSIONS_SQL, order_versions, relations, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -34,9 +38,11 @@ def scan_rescan(spark, d):
     return once.unionByName(once)
 
 
-@query("scan_null_key", "SELECT o_orderkey FROM orders WHERE false")
+@query("scan_null_key", "SELECT o_orderkey FROM orders WHERE o_custkey % 10 <> 4 AND o_custkey % 10 <= 2")
 def scan_null_key(spark, d):
-    return scan(table(spark, d, "orders"), [Key("o_custkey", "=", None)], ["o_orderkey"])
+    """A null argument meets no row, and a null column meets no comparison."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_custkey") % 10, F.lit(4)).alias("k"))
+    return scan(rows, [Key("k", "=", None)], ["o_orderkey"]).unionByName(scan(rows, [Key("k", "<=", 2)], ["o_orderkey"]))
 
 
 @query("scan_project", "SELECT l_orderkey, l_extendedprice FROM lineitem")
@@ -54,11 +60,12 @@ def scan_block_sample(spark, d):
     return sample_blocks(table(spark, d, "orders"), "o_orderkey", 100, [3, 17, 42, 99]).select("o_orderkey", "o_custkey")
 
 
-@query("page_rows", "SELECT o_orderkey // 50 AS block, string_agg(CAST(o_orderkey % 50 AS VARCHAR), ',' ORDER BY o_orderkey % 50) AS offsets FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query("page_rows", f"{VERSIONS_SQL} SELECT _rid // 50 AS block, string_agg(CAST(_rid % 50 AS VARCHAR), ',' ORDER BY _rid % 50) AS offsets FROM v WHERE coalesce(_begin_csn < 60, false) AND NOT coalesce(_end_csn < 60, false) GROUP BY 1")
 def page_rows(spark, d):
-    rows = scan(table(spark, d, "orders"), [Key("o_orderstatus", "=", "F")])
-    offsets = F.array_join(F.array_sort(F.collect_list(F.col("o_orderkey") % 50)), ",")
-    return rows.groupBy(block_of(F.col("o_orderkey"), 50).alias("block")).agg(offsets.alias("offsets"))
+    """The places in each block of the versions that a snapshot sees; a block has 50 rows at most."""
+    rows = order_versions(table(spark, d, "orders")).where(Snapshot(60).visible())
+    offsets = F.array_join(F.array_sort(F.collect_list(F.col("_rid") % 50)), ",")
+    return rows.groupBy(block_of(F.col("_rid"), 50).alias("block")).agg(offsets.alias("offsets"))
 
 
 @query("fetch_by_rid", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)")
@@ -67,17 +74,24 @@ def fetch_by_rid(spark, d):
     return fetch(table(spark, d, "orders"), rids, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query("catalog_scan")
+_CATALOG = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
+
+@query("catalog_scan", f"""SELECT table_name AS relation, CAST(ordinal_position AS INTEGER) AS attno, column_name AS attname, CASE {' '.join(f"WHEN data_type LIKE '{a}%' THEN '{b}'" for a, b in _TYPES.items())} END AS atttype
+FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{n}'" for n in _CATALOG)})""")
 def catalog_scan(spark, d):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-    return relations(spark, d, names)
+    return relations(spark, d, _CATALOG)
 
 
-@query("idx_prefix_eq", f"SELECT {LINE} FROM lineitem WHERE l_partkey = 77 AND l_suppkey = 7 OR l_partkey = 78 AND l_suppkey = 8")
+@query("idx_prefix_eq", f"SELECT {LINE} FROM lineitem WHERE l_partkey = 77 OR l_partkey = 78 AND l_suppkey >= 4 OR l_partkey = 79 AND l_suppkey IN (SELECT max(l_suppkey) FROM lineitem WHERE l_partkey = 79)")
 def idx_prefix_eq(spark, d):
+    """Equal prefixes of the index on part and supplier: the first column alone, with a bound on the second, and both."""
     lines = table(spark, d, "lineitem")
-    one = scan(lines, [Key("l_partkey", "=", 77), Key("l_suppkey", "=", 7)], LINE_COLUMNS)
-    return one.unionByName(scan(lines, [Key("l_partkey", "=", 78), Key("l_suppkey", "=", 8)], LINE_COLUMNS))
+    last = lines.where("l_partkey = 79").agg(F.max("l_suppkey")).first()[0]
+    cases = [[Key("l_partkey", "=", 77)], [Key("l_partkey", "=", 78), Key("l_suppkey", ">=", 4)], [Key("l_partkey", "=", 79), Key("l_suppkey", "=", last)]]
+    one, two, three = (scan(lines, keys, LINE_COLUMNS) for keys in cases)
+    return one.unionByName(two).unionByName(three)
 
 
 @query("idx_range", f"SELECT {LINE} FROM lineitem WHERE l_orderkey > 100 AND l_orderkey <= 400")
@@ -92,6 +106,23 @@ def idx_in_list(spark, d):
     return running(found, [key("l_partkey"), key("l_orderkey"), key("l_linenumber"), key("l_quantity")])
 
 
+@query("idx_in_lists", """SELECT row_number() OVER (ORDER BY l_linenumber, l_partkey, l_orderkey, l_quantity) AS position, l_linenumber, l_partkey, l_orderkey, l_quantity FROM lineitem
+WHERE l_linenumber IN (2, 3, 5) AND l_partkey IN (7, 9, 31, 300)""")
+def idx_in_lists(spark, d):
+    """Two lists over an index on line number and part: rows come in its order, in which the last list varies fastest."""
+    found = scan(table(spark, d, "lineitem"), [Key("l_linenumber", "in", [5, 3, None, 2, 3]), Key("l_partkey", "= any", [300, 9, 7, 31, None])], ["l_linenumber", "l_partkey", "l_orderkey", "l_quantity"])
+    return running(found, [key("l_linenumber"), key("l_partkey"), key("l_orderkey"), key("l_quantity")])
+
+
+@query("idx_scan_fetch", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey BETWEEN 20 AND 60 AND o_orderstatus <> 'P'")
+def idx_scan_fetch(spark, d):
+    """An index scan whose row ids fetch the rows, which are then judged by a column that the index lacks."""
+    orders = table(spark, d, "orders")
+    index_rows = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("_rid"))
+    rids = scan(index_rows, [Key("k", ">=", 20), Key("k", "<=", 60)], ["_rid"]).withColumnRenamed("_rid", "o_orderkey")
+    return fetch(orders, rids, "o_orderkey").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query("idx_lt_any", "SELECT o_orderkey FROM orders WHERE o_orderkey < 90 AND o_custkey > 200")
 def idx_lt_any(spark, d):
     return scan(table(spark, d, "orders"), [Key("o_orderkey", "< any", [3, None, 90, 40]), Key("o_custkey", "> any", [700, 200])], ["o_orderkey"])
@@ -128,10 +159,16 @@ def idx_point(spark, d):
     return scan(table(spark, d, "customer"), [Key("c_custkey", "=", 42)]).limit(1)
 
 
-@query("idx_conflict", "SELECT o_orderkey FROM orders WHERE false")
+@query("idx_conflict", "SELECT o_orderkey, 'merged' AS which FROM orders WHERE o_orderkey = 7 UNION ALL SELECT o_orderkey, 'between' FROM orders WHERE o_orderkey > 20 AND o_orderkey < 30")
 def idx_conflict(spark, d):
-    keys, conflict = simplify([Key("o_orderkey", "=", 1), Key("o_orderkey", ">", 2)])
-    return table(spark, d, "orders").where(F.lit(not conflict)).select("o_orderkey")
+    """Several keys on one column: those that agree are merged and those that contradict each other give no rows."""
+    cases = {"conflict": [("=", 1), (">", 2)], "merged": [("=", 7), ("<=", 7), (">", 2)], "between": [(">", 20), (">=", 5), ("<", 30)], "apart": [("<", 5), ("is null", None)], "twice": [("=", 3), ("=", 4)]}
+    parts = []
+    for which, given in cases.items():
+        keys, conflict = simplify([Key("o_orderkey", op, value) for op, value in given])
+        rows = table(spark, d, "orders").where(F.lit(False)) if conflict else scan(table(spark, d, "orders"), keys)
+        parts.append(rows.select("o_orderkey", F.lit(which).alias("which")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("idx_build", "SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) AS position, c_nationkey AS k, c_custkey AS _rid FROM customer")
@@ -157,12 +194,12 @@ def idx_part_counts(spark, d):
     return index.partition_counts(table(spark, d, "orders"), "o_orderstatus")
 
 
-@query("idx_partition", "SELECT o_custkey AS k, o_orderkey AS _rid, o_orderstatus AS part FROM orders WHERE o_orderstatus <> 'P' AND o_custkey < 100")
+@query("idx_partition", "SELECT o_custkey AS k, o_orderkey AS _rid, o_orderstatus AS part FROM orders WHERE o_orderstatus <> 'P'")
 def idx_partition(spark, d):
     orders = table(spark, d, "orders")
     built = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("_rid"), F.col("o_orderstatus").alias("part"))
     live = spark.createDataFrame([("F",), ("O",)], "part string")
-    return index.keep_live_partitions(scan(built, [Key("k", "<", 100)]), "part", live)
+    return index.keep_live_partitions(built, "part", live)
 
 
 _DELTA = "SELECT o_custkey AS k, o_orderkey AS _rid, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'DELETE' ELSE 'INSERT' END AS op FROM orders WHERE o_orderkey % 4 = 0"

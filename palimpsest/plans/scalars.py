@@ -39,11 +39,49 @@ def int_in(spark, d):
     return spark.createDataFrame([(v,) for v in INTS], "x string").select("x", scalars.int_in(F.col("x")).alias("value"))
 
 
-@query("float_out", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' ELSE '1.5' END AS shown FROM customer")
+_FLOATS = "CASE c_custkey % 8 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN c_custkey * 1e15 WHEN 4 THEN c_custkey / 4096 WHEN 5 THEN 0 WHEN 6 THEN -c_custkey ELSE -c_custkey / 64 END"
+_SHOWN = "CASE WHEN isnan(x) THEN 'NaN' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE printf('%.16g', x) END"
+
+
+@query("float_out", f"SELECT c_custkey, {_SHOWN} AS shown, printf('%.7g', y) AS short FROM (SELECT c_custkey, {_FLOATS} AS x, c_custkey / 3.0::DOUBLE * ([1, 1e12, 1e-9, -1e3, 1e-4])[c_custkey % 5 + 1] AS y FROM customer)")
 def float_out(spark, d):
-    k = F.col("c_custkey") % 4
-    x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(1.5)
-    return table(spark, d, "customer").select("c_custkey", scalars.float_out(x).alias("shown"))
+    k, n = F.col("c_custkey") % 8, F.col("c_custkey").cast("double")
+    x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 3, n * 1e15).when(k == 4, n / 4096).when(k == 5, 0.0).when(k == 6, -n).otherwise(-n / 64)
+    y = n / 3.0 * F.element_at(F.array(*(F.lit(v) for v in (1.0, 1e12, 1e-9, -1e3, 1e-4))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", scalars.float_out(x).alias("shown"), scalars.float_out(y, scalars.FLOAT_DIGITS).alias("short"))
+
+
+_TAILS = ["", "abc", "e2", " 7", "e", ".", "."]
+
+
+@query("float_in", f"""SELECT c_custkey, CAST(coalesce(TRY_CAST(nullif(regexp_extract(x, '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE), 0) AS DOUBLE) AS value, substr(x, 1, 1) AS first,
+coalesce(TRY_CAST(nullif(regexp_extract(x, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0) & 4294967295 AS oid
+FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'x' ELSE '' END || CAST(c_acctbal AS DECIMAL(18,2)) || ([{', '.join(f"'{t}'" for t in _TAILS)}])[c_custkey % 7 + 1] AS x FROM customer)""")
+def float_in(spark, d):
+    """Numbers that texts begin with: doubles, ids of 32 bits and first characters, after spaces and before whatever follows."""
+    head = F.when(F.col("c_custkey") % 3 == 0, " ").when(F.col("c_custkey") % 3 == 1, "x").otherwise("")
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("c_custkey") % 7 + 1).cast("int"))
+    x = F.concat(head, F.col("c_acctbal").cast("decimal(18,2)").cast("string"), tail)
+    rows = table(spark, d, "customer").select("c_custkey", x.alias("x"))
+    return rows.select("c_custkey", scalars.float_in(F.col("x")).alias("value"), scalars.char_in(F.col("x")).alias("first"), scalars.oid_in(F.col("x")).alias("oid"))
+
+
+_SIDES = {  # name: Spark's two sides, DuckDB's two sides
+    "int2": ("cast(l_linenumber as smallint)", "cast(l_suppkey % 8 as smallint)"), "int4": ("l_linenumber", "cast(l_suppkey % 8 as int)"), "int8": ("l_partkey % 100", "l_suppkey % 100"),
+    "float4": ("cast(l_tax as float)", "cast(l_discount as float)"), "float8": ("l_tax", "l_discount"), "text": ("l_returnflag", "chr(65 + l_suppkey % 20)"),
+    "bool": ("l_linestatus = 'O'", "l_tax > 0.04"), "char": ("l_linestatus", "chr(70 + l_suppkey % 10)"), "name": ("l_returnflag", "chr(65 + l_suppkey % 20)"), "oid": ("l_partkey % 100", "l_suppkey % 100"),
+}
+_OPS = {"lt": "<", "le": "<=", "eq": "=", "ge": ">=", "gt": ">"}
+
+
+def _compared(wrap: str) -> list[tuple[str, str]]:
+    return [(f"{kind}_{name}", wrap.format(f"({a}) {op} ({b})")) for kind, (a, b) in _SIDES.items() for name, op in _OPS.items() if name == "eq" or kind not in ("bool", "char", "name", "oid")]
+
+
+@query("cmp_types", "SELECT " + ", ".join(f"{x} AS {n}" for n, x in _compared("count(*) FILTER ({})")) + " FROM (SELECT *, CAST(65 AS INTEGER) FROM (SELECT * REPLACE (CAST(l_suppkey AS INTEGER) AS l_suppkey) FROM lineitem))")
+def cmp_types(spark, d):
+    """Rows for which each comparison of each type holds: five of numbers and text, equality alone of the others."""
+    return table(spark, d, "lineitem").agg(*(F.expr(x).alias(n) for n, x in _compared("count_if({})")))
 
 
 @query("cmp_threeway", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a < b THEN -1 WHEN a = b THEN 0 WHEN a > b THEN 1 END AS cmp FROM
@@ -109,13 +147,13 @@ def tuple_modify(spark, d):
     return table(spark, d, "supplier").withColumn("s_name", changed).select("s_suppkey", "s_name", "s_acctbal")
 
 
-@query("tuple_equal", "SELECT count(*) AS n FROM (SELECT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey WHERE a.l_orderkey < 2000)")
+@query("tuple_equal", "SELECT count(*) AS n FROM (SELECT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey)")
 def tuple_equal(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("r"))
+    rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("r"))
     return rows.groupBy("r").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("n"))
 
 
-@query("array_items", "SELECT o_custkey, len(list(o_orderkey)) AS n, unnest(list_sort(list(o_orderkey))) AS item FROM orders WHERE o_custkey < 100 GROUP BY o_custkey")
+@query("array_items", "SELECT o_custkey, len(list(o_orderkey)) AS n, unnest(list_sort(list(o_orderkey))) AS item FROM orders GROUP BY o_custkey")
 def array_items(spark, d):
-    held = table(spark, d, "orders").where("o_custkey < 100").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("a"))
+    held = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("a"))
     return held.select("o_custkey", F.size("a").cast("long").alias("n"), F.explode("a").alias("item"))

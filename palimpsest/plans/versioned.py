@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import lobs, versions
+from palimpsest.operators.order import fresh_folder, running
 from palimpsest.operators.sequences import Sequence
 from palimpsest.operators.transactions import Relation, deadlocked, waits
 from palimpsest.operators.versions import Snapshot
 from palimpsest.plans.register import Registry
 from palimpsest.sources.tables import VERSIONS_SQL, order_versions, table
+from palimpsest.sources.version_log import VersionLog
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -53,9 +55,9 @@ def mvcc_dirty(spark, d):
     return _versions(spark, d).where(Snapshot(dirty=True).visible()).select(*SHOWN)
 
 
-@query("show_any_version", _sql("_rid < 500", "_rid, _ver, _begin_xid, _end_xid"))
+@query("show_any_version", _sql("true", "_rid, _ver, _begin_xid, _end_xid"))
 def show_any_version(spark, d):
-    return _versions(spark, d).where("_rid < 500").select("_rid", "_ver", "_begin_xid", "_end_xid")
+    return _versions(spark, d).select("_rid", "_ver", "_begin_xid", "_end_xid")
 
 
 def _isolated(spark, d, isolation: str):
@@ -64,31 +66,31 @@ def _isolated(spark, d, isolation: str):
     reader, writer = relation.begin(isolation), relation.begin()
     writer.update(relation.versions.where("_rid < 300").where(Snapshot(50).visible()).select("_rid", "o_custkey", (F.col("o_totalprice") + 1000).alias("o_totalprice")))
     writer.commit()
-    return reader.read().where("_rid < 600").select("_rid", "o_totalprice")
+    return reader.read().select("_rid", "o_totalprice")
 
 
 _BEFORE_50 = "_begin_csn < 50 AND (_end_csn IS NULL OR _end_csn < 50)"
 
 
-@query("iso_read_committed", f"{VERSIONS_SQL} SELECT _rid, o_totalprice + CASE WHEN _rid < 300 THEN 1000 ELSE 0 END AS o_totalprice FROM v WHERE _begin_csn < 50 AND _end_csn IS NULL AND _rid < 600")
+@query("iso_read_committed", f"{VERSIONS_SQL} SELECT _rid, o_totalprice + CASE WHEN _rid < 300 THEN 1000 ELSE 0 END AS o_totalprice FROM v WHERE _begin_csn < 50 AND _end_csn IS NULL")
 def iso_read_committed(spark, d):
     return _isolated(spark, d, "read committed")
 
 
-@query("iso_txn_snapshot", f"{VERSIONS_SQL} SELECT _rid, o_totalprice FROM v WHERE _begin_csn < 50 AND _end_csn IS NULL AND _rid < 600")
+@query("iso_txn_snapshot", f"{VERSIONS_SQL} SELECT _rid, o_totalprice FROM v WHERE _begin_csn < 50 AND _end_csn IS NULL")
 def iso_txn_snapshot(spark, d):
     return _isolated(spark, d, "transaction snapshot")
 
 
-@query("txn_savepoint", f"{VERSIONS_SQL} SELECT _rid, o_totalprice FROM v WHERE {_seen()} AND _rid < 100 AND _rid % 3 <> 0 UNION ALL SELECT -o_orderkey - 1, 1.0::DOUBLE FROM orders WHERE o_orderkey < 5")
+@query("txn_savepoint", f"{VERSIONS_SQL} SELECT _rid, o_totalprice FROM v WHERE {_seen()} AND _rid % 3 <> 0 UNION ALL SELECT -o_orderkey - 1, 1.0::DOUBLE FROM orders WHERE o_orderkey < 5")
 def txn_savepoint(spark, d):
-    relation = Relation(_versions(spark, d).where("_rid < 100 and _begin_csn is not null"), PAYLOAD, csn=200)
+    relation = Relation(_versions(spark, d).where("_begin_csn is not null"), PAYLOAD, csn=200)
     t = relation.begin()
     t.insert(table(spark, d, "orders").where("o_orderkey < 5").select((-F.col("o_orderkey") - 1).alias("_rid"), "o_custkey", F.lit(1.0).alias("o_totalprice")))
     t.savepoint("a")
-    t.delete(spark.range(0, 100).select(F.col("id").alias("_rid")))
+    t.delete(relation.versions.select("_rid").distinct())
     t.rollback_to("a")
-    t.delete(spark.range(0, 100, 3).select(F.col("id").alias("_rid")))
+    t.delete(relation.versions.where("_rid % 3 = 0").select("_rid").distinct())
     t.commit()
     return versions.as_of(relation.versions).select("_rid", "o_totalprice")
 
@@ -150,6 +152,46 @@ def dml_conflicts(spark, d):
     return versions.write_verdicts(writes, _versions(spark, d), Snapshot(60, xid=70, cid=0))
 
 
+@query("dml_in_progress", f"""{VERSIONS_SQL} SELECT o_orderkey AS _rid, CASE WHEN _begin_csn IS NULL THEN 'invisible' WHEN o_orderkey % 10 = 1 AND o_orderkey % 3 > 0 THEN 'self_modified' WHEN o_orderkey % 10 = 2 THEN 'being_modified' WHEN _end_xid IS NOT NULL THEN 'deleted'
+ELSE 'ok' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY _rid ORDER BY _ver DESC) AS k FROM v) v JOIN orders ON o_orderkey = _rid WHERE k = 1 AND NOT (_rid % 10 = 1 AND _rid % 3 = 0)""")
+def dml_in_progress(spark, d):
+    """What transaction 201 finds while it and 200 have writes that aren't committed."""
+    writes = _writes(spark, d).where("op <> 'INSERT'")
+    after = versions.apply_writes(_versions(spark, d), writes.where("op = 'DELETE'"), 200, None, PAYLOAD)
+    after = versions.apply_writes(after, writes.where("op = 'UPDATE' and _rid % 3 > 0").withColumn("op", F.lit("DELETE")), 201, None, PAYLOAD)
+    asked = table(spark, d, "orders").where("not (o_orderkey % 10 = 1 and o_orderkey % 3 = 0)").select(F.col("o_orderkey").alias("_rid"))
+    return versions.write_verdicts(asked, after, Snapshot(xid=201, cid=9))
+
+
+@query("dml_old_rows", f"{VERSIONS_SQL} SELECT _rid, _ver, CASE WHEN _rid % 10 = 1 THEN 'UPDATE' ELSE 'DELETE' END AS op, o_custkey, o_totalprice FROM v WHERE {_seen()} AND _rid % 10 IN (1, 2)")
+def dml_old_rows(spark, d):
+    """The rows that an update and a delete have replaced, as they were."""
+    return versions.row_changes(_versions(spark, d), _writes(spark, d), 200, 200, PAYLOAD)[1].select("_rid", "_ver", F.col("_op").alias("op"), *PAYLOAD)
+
+
+@query("dml_identity_tuple", f"{VERSIONS_SQL} SELECT _rid, CASE WHEN _rid % 10 = 1 THEN 'UPDATE' ELSE 'DELETE' END AS op, o_custkey FROM v WHERE {_seen()} AND _rid % 10 IN (1, 2)")
+def dml_identity_tuple(spark, d):
+    ended = versions.row_changes(_versions(spark, d), _writes(spark, d), 200, 200, PAYLOAD)[1]
+    return versions.identity(ended, ["o_custkey"]).select("_rid", "op", "identity.o_custkey")
+
+
+@query("dml_lock_rows", f"""{VERSIONS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY _rid ORDER BY _ver DESC) AS k FROM v), s AS (SELECT _rid, _ver, o_totalprice FROM v WHERE {_seen(40)})
+SELECT s._rid, CASE WHEN found = 'newest' THEN nv ELSE s._ver END AS _ver, found, CASE WHEN found = 'newest' THEN np ELSE s.o_totalprice END AS o_totalprice
+FROM s JOIN (SELECT _rid, _ver AS nv, o_totalprice AS np, _end_xid AS e FROM n WHERE k = 1) USING (_rid), LATERAL (SELECT CASE WHEN e IS NOT NULL THEN 'gone' WHEN nv = s._ver THEN 'unchanged' ELSE 'newest' END AS found)""")
+def dml_lock_rows(spark, d):
+    return versions.lock_rows(_versions(spark, d), Snapshot(40), ["o_totalprice"])
+
+
+@query("dml_append", f"""{VERSIONS_SQL} SELECT _rid, CASE WHEN _rid % 10 = 1 THEN 2 ELSE _ver END AS _ver, CASE WHEN _rid % 10 = 1 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice
+FROM v WHERE {_seen()} AND _rid % 10 <> 2 UNION ALL SELECT o_orderkey + 1000000, 1, o_totalprice FROM orders WHERE o_orderkey < 50""")
+def dml_append(spark, d):
+    """The same writes through storage: begun versions and end marks are appended to a log and read back."""
+    log = VersionLog(spark, fresh_folder(spark))
+    log.create(_versions(spark, d))
+    log.append(_writes(spark, d), 200, 200, PAYLOAD)
+    return versions.as_of(log.read()).select(*SHOWN)
+
+
 @query("dml_for_update", f"{VERSIONS_SQL} SELECT _rid, max(_ver) AS _ver FROM v WHERE {_seen()} AND o_custkey < 50 GROUP BY _rid")
 def dml_for_update(spark, d):
     return versions.as_of(_versions(spark, d)).where("o_custkey < 50").select("_rid", "_ver")
@@ -210,21 +252,32 @@ def seq_exhausted(spark, d):
     return Sequence(increment=-4, min_value=0, max_value=10, last_value=8).draw(spark, 5)
 
 
-@query("seq_cached", "SELECT 20 AS last_value, true AS is_called")
+@query("seq_cached", "SELECT 20::BIGINT AS last_value, true AS is_called")
 def seq_cached(spark, d):
-    state = Sequence(cache=10).after(spark, 13)
-    return spark.createDataFrame([(state.last_value, state.is_called)], "last_value int, is_called boolean")
+    return Sequence(cache=10).after(spark, 13).row(spark).select("last_value", "is_called")
+
+
+@query("seq_row", "SELECT 9223372036854775000 AS last_value, true AS is_called, 5::BIGINT AS increment, -7::BIGINT AS min_value, 9223372036854775807 AS max_value, 1::BIGINT AS cache, false AS cycle")
+def seq_row(spark, d):
+    return Sequence(increment=5, min_value=-7).set(9223372036854775000).row(spark)
+
+
+@query("seq_rows", "SELECT o_orderkey, 100 + 7 * (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) AS value FROM orders")
+def seq_rows(spark, d):
+    """A value of a sequence for every row of a table, in the table's order."""
+    placed = running(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    return placed.select("o_orderkey", Sequence(increment=7, last_value=100).value(F.col("position")).alias("value"))
 
 
 def _requests(spark, d):
     """Lock requests made of orders: an object per customer, the first of each granted."""
-    orders = table(spark, d, "orders").where("o_custkey < 60")
+    orders = table(spark, d, "orders")
     first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("f"))
     mode = F.when(F.col("o_orderkey") % 3 == 0, "exclusive").when(F.col("o_orderkey") % 3 == 1, "share").otherwise("access share")
     return orders.join(first, "o_custkey").select((F.col("o_orderkey") % 40).alias("xid"), F.col("o_custkey").alias("object"), mode.alias("mode"), (F.col("o_orderkey") == F.col("f")).alias("granted"))
 
 
-_WAITS = """WITH RECURSIVE r AS (SELECT o_orderkey % 40 AS xid, o_custkey AS object, o_orderkey % 3 AS m, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS granted FROM orders WHERE o_custkey < 60),
+_WAITS = """WITH RECURSIVE r AS (SELECT o_orderkey % 40 AS xid, o_custkey AS object, o_orderkey % 3 AS m, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS granted FROM orders),
 w AS (SELECT DISTINCT a.xid AS waiter, b.xid AS holder FROM r a JOIN r b ON a.object = b.object AND NOT a.granted AND b.granted AND a.xid <> b.xid WHERE a.m = 0 AND b.m < 2 OR a.m = 1 AND b.m = 0)"""
 
 

@@ -8,6 +8,7 @@ from palimpsest.operators.scan import Key, scan, simplify
 from palimpsest.operators.sequences import Sequence
 from palimpsest.operators.transactions import Conflict, Relation
 from palimpsest.operators.versions import as_of, flashback
+from palimpsest.sources.version_log import VersionLog
 from palimpsest.streaming.cdc import with_schema_version
 from palimpsest.streaming.slots import Slot, emit_ready, stream
 
@@ -89,6 +90,35 @@ def test_savepoints(spark):
         t.release("other")
 
 
+def test_statement_rollback_and_nested(spark):
+    """A failed insert is taken back alone; a second transaction begun within another commits whatever becomes of that."""
+    r = relation(spark)
+    t = r.begin()
+    t.insert(rows(spark, (10, "a")))
+    t.insert(rows(spark, (0, "conflict")))
+    t.rollback_statement()
+    inner = r.begin()
+    inner.insert(rows(spark, (20, "own")))
+    inner.commit()
+    assert set(shown(t.read())) == {0, 1, 2, 10, 20}
+    t.abort()
+    assert set(shown(as_of(r.versions))) == {0, 1, 2, 20}
+
+
+def test_version_log(spark, tmp_path):
+    """Commits are appended and read back; one that stopped before its line counts for nothing and can be made again."""
+    log = VersionLog(spark, f"file://{tmp_path}/log")
+    log.create(relation(spark).versions)
+    writes = lambda *w: spark.createDataFrame(list(w), "_rid long, op string, _cid long, x string")
+    log.append(writes((1, "UPDATE", 0, "new"), (2, "DELETE", 0, None), (9, "INSERT", 1, "more")), 7, 5, ["x"])
+    assert shown(as_of(log.read())) == {0: "v0", 1: "new", 9: "more"} and shown(as_of(log.read(), 5)) == {0: "v0", 1: "v1", 2: "v2"}
+    log._commit = lambda name: None
+    log.append(writes((0, "DELETE", 0, None)), 8, 6, ["x"])
+    assert shown(as_of(log.read())) == {0: "v0", 1: "new", 9: "more"}
+    VersionLog(spark, log.folder).append(writes((0, "UPDATE", 0, "again")), 8, 6, ["x"])
+    assert shown(as_of(log.read())) == {0: "again", 1: "new", 9: "more"}
+
+
 def test_isolation_conflict_and_flashback(spark):
     r = relation(spark)
     fixed, fresh, writer = r.begin("transaction snapshot"), r.begin(), r.begin()
