@@ -32,7 +32,8 @@ class WordEncoder:
     (word_bpe_49k): a text's ids are then its words' ids in order, and a plain word's ids those of its
     runs of letters or signs and of its digits. Plain letters are those that the normaliser lower-cases
     one by one; a word with anything else passes through the whole tokenizer as one piece. Pieces are
-    found and looked up by 64-bit hash for a batch of texts at once; the memory is emptied when it is full.
+    found and looked up by 64-bit hash for a batch of texts at once; when the memory is full, the pieces that
+    were met most stay, those that were met once go.
     """
 
     def __init__(self, path: str, pieces: int = 300_000, pool_ids: int = 2_400_000):
@@ -44,12 +45,22 @@ class WordEncoder:
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.most = (pieces, pool_ids)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.slots, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.begin, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keeps at most half of the pieces and of the pool that may be held, those met most; their counts are halved."""
+        order = np.argsort(-self.met, kind="stable")
+        few = (np.arange(len(order)) < self.most[0] // 2) & (np.cumsum(self.count[order]) <= self.most[1] // 2) & (self.met[order] > 1)
+        keep = np.zeros(len(self.met), bool)
+        keep[order[few]] = True
+        own = keep[self.slots]
+        self.keys, self.slots = self.keys[own], (np.cumsum(keep) - 1)[self.slots[own]]
+        begin, self.count, self.met = self.begin[keep], self.count[keep], self.met[keep] // 2
+        ends = np.cumsum(self.count)
+        self.begin = ends - self.count
+        self.pool = self.pool[np.repeat(begin - self.begin, self.count) + np.arange(int(self.count.sum()))]
+
     def _pieces(self, data: np.ndarray):
         """(starts, stops, lower-cased bytes, whether odd) of all pieces."""
         lower, kind = _LOWER[data], _KIND[data]
@@ -83,6 +94,7 @@ class WordEncoder:
         slots = len(self.count) + np.arange(len(texts))
         self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
+        self.met = np.concatenate([self.met, np.zeros(len(count), np.int64)])
         self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
@@ -95,12 +107,12 @@ class WordEncoder:
         if not len(data):
             return []
         if len(self.keys) > self.most[0] or len(self.pool) > self.most[1]:
-            self._empty()
+            self._forget()
         starts, stops, lower, odd = self._pieces(data)
         keys = span_hashes(lower, starts, stops)
         for i in np.nonzero(odd)[0].tolist():
             keys[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : stops[i]], digest_size=8).digest(), "little")
-        one, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        one, first, which, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         at = np.searchsorted(self.keys, one)
         at[at == len(self.keys)] = 0
         known = self.keys[at] == one if len(self.keys) else np.zeros(len(one), bool)
@@ -111,6 +123,7 @@ class WordEncoder:
             place = first[new]
             text = [(data if o else lower)[a:b].tobytes().decode() for a, b, o in zip(starts[place].tolist(), stops[place].tolist(), odd[place].tolist(), strict=True)]
             slot[new] = self._learn(one[new], text, odd[place])
+        self.met[slot] += times
         slot = slot[which]
         n = self.count[slot]
         ends = np.concatenate([[0], np.cumsum(n)])
