@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A node with more than this part of all links, and at least so many, is joined apart from the others: there are fewer than HOT_PART such.
 HOT_PART, HOT_LINKS = 1000, 200
+#: So few links are no burden to one task, whatever their nodes.
+FEW_LINKS = 10_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -107,6 +109,8 @@ def _hot_join(left: DataFrame, right: DataFrame, key: str, links: int) -> DataFr
 
     Keys of very many rows are few; their rows meet right's by broadcast and aren't gathered in a task.
     """
+    if links <= FEW_LINKS:
+        return left.join(right.withColumnRenamed("node", key), key, "left")
     count = left.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("n_")).where(F.col("n_") > max(HOT_LINKS, links // HOT_PART))
     hot = right.join(F.broadcast(count.select("node")), "node", "right").withColumn("hot_", F.lit(True))
     marked = left.join(F.broadcast(hot).withColumnRenamed("node", key), key, "left")

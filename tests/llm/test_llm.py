@@ -96,6 +96,18 @@ def test_near_dedup_blocks(spark):
     assert {r["component_id"] for r in got} == {1} and sum(r["kept"] for r in got) == 1
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_hot(spark, monkeypatch, few):
+    """Stars around the least and the greatest node, and a link between them: hot nodes are joined apart, with the same result."""
+    from palimpsest.llm import shared
+
+    monkeypatch.setattr(shared, "FEW_LINKS", few)
+    links = [(4999, i) for i in range(1, 1500)] + [(0, i) for i in range(2000, 3500)] + [(7, 2500), (6001, 6000), (6002, 6001), (6002, 6002)]
+    found = shared.connected_components(shared.Workspace(spark), spark.createDataFrame(links, "a long, b long")).collect()
+    want = {i: 6000 if i >= 6000 else 0 for pair in links for i in pair}
+    assert len(found) == len(want) and {r["node"]: r["component"] for r in found} == want
+
+
 def test_vectors_odd(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=8)
