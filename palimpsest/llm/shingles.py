@@ -39,7 +39,7 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     steps = np.full(max(n, 1 << 20), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
     steps[0] = 1
     found = np.multiply.accumulate(steps)
-    if len(found) <= 1 << 22:
+    if len(found) <= 1 << 20:
         _powers[inverse] = found
     return found[:n]
 

@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Latin-1 letters are this byte and one that follows; of those the two signs × and ÷ aren't letters.
 _LEAD, _NO_LETTERS = 0xC3, (0x97, 0xB7)
+#: Bytes of text whose pieces are found at once, and new pieces that are encoded at once: the room an encoder needs beside its memory.
+WINDOW_BYTES, LEARN_PIECES = 1 << 19, 4000
 
 
 class WordEncoder:
@@ -32,17 +34,18 @@ class WordEncoder:
     (word_bpe_49k): a text's ids are then its words' ids in order, and a plain word's ids those of its
     runs of letters or signs and of its digits. Plain letters are those that the normaliser lower-cases
     one by one; a word with anything else passes through the whole tokenizer as one piece. Pieces are
-    found and looked up by 64-bit hash for a batch of texts at once; when the memory is full, the pieces that
-    were met most stay, those that were met once go.
+    found and looked up by 64-bit hash for a window of bytes at once, cut between words, so that a long text needs
+    no more room than many short ones; when the memory is full, the pieces that were met most stay, those that were
+    met once go.
     """
 
-    def __init__(self, path: str, pieces: int = 300_000, pool_ids: int = 2_400_000):
+    def __init__(self, path: str, pieces: int = 300_000, pool_ids: int = 2_400_000, window: int = WINDOW_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.window = window
         self.whole = Tokenizer.from_file(path)
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer = None
+        self.merges = Tokenizer(self.whole.model)  # one vocabulary in memory
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.most = (pieces, pool_ids)
         self.keys, self.slots, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -86,8 +89,8 @@ class WordEncoder:
         """Slots of new pieces, whose ids join the pool."""
         found: list = [None] * len(texts)
         for tokenizer, own in ((self.merges, np.nonzero(~odd)[0].tolist()), (self.whole, np.nonzero(odd)[0].tolist())):
-            for at in range(0, len(own), 20_000):
-                part = own[at : at + 20_000]
+            for at in range(0, len(own), LEARN_PIECES):
+                part = own[at : at + LEARN_PIECES]
                 for i, e in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
                     found[i] = e.ids
         count = np.array([len(x) for x in found], np.int64)
@@ -100,12 +103,18 @@ class WordEncoder:
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
         return slots
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
-        raw = [(t or "").encode() for t in texts]
-        data = np.frombuffer(b"".join([b + b" " for b in raw]), np.uint8)
-        if not len(data):
-            return []
+    def _windows(self, data: np.ndarray):
+        """(begin, end) of windows that end in white space; longer than the bound only for a longer word."""
+        ends = np.nonzero(_KIND[data] == SPACE)[0] + 1
+        at = 0
+        while at < len(data):
+            last = int(np.searchsorted(ends, at + self.window, "right")) - 1
+            stop = int(ends[max(last, np.searchsorted(ends, at, "right"))])
+            yield at, stop
+            at = stop
+
+    def _ids(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """(starts of a window's pieces, number of ids of each, all ids)."""
         if len(self.keys) > self.most[0] or len(self.pool) > self.most[1]:
             self._forget()
         starts, stops, lower, odd = self._pieces(data)
@@ -126,10 +135,26 @@ class WordEncoder:
         self.met[slot] += times
         slot = slot[which]
         n = self.count[slot]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.pool[np.repeat(self.begin[slot] - ends[:-1], n) + np.arange(ends[-1])].astype("<u4").tobytes()
-        bounds = np.concatenate([[0], np.cumsum([len(b) + 1 for b in raw])])
-        cuts = (4 * ends[np.searchsorted(starts, bounds)]).tolist()
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(self.begin[slot] - (ends - n), n) + np.arange(int(n.sum()))]
+        return starts, n, ids.astype("<u4").tobytes()
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
+        raw = [(t or "").encode() + b" " for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(data):
+            return []
+        starts, counts, parts = [], [], []
+        for at, stop in self._windows(data):
+            begin, n, ids = self._ids(data[at:stop])
+            starts.append(begin + at)
+            counts.append(n)
+            parts.append(ids)
+        ids = b"".join(parts)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        bounds = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+        cuts = (4 * ends[np.searchsorted(np.concatenate(starts), bounds)]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 

@@ -413,11 +413,12 @@ def ids_of(library, text, end):
     return [*library.encode(text or "", add_special_tokens=False).ids, end]
 
 
-def test_encoder(library):
+@pytest.mark.parametrize("window", [1, 50, 1 << 19])
+def test_encoder(library, window):
     rng = random.Random(1)
     parts = list("abzAZ09 \n\t'<>|!?.-_éÉßÿ×÷Àñ́İıж中 \"\\&") + ["<|startoftext|>", "<|ENDOFTEXT|>", "'s", "n'T", "é"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000)] + ["", None, "x" * 4000]
-    coder = WordEncoder(token_files.tokenizer_file(), pieces=2000)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000)] + ["", None, "x" * 4000, "\n" * 300, " a\n" * 500]
+    coder = WordEncoder(token_files.tokenizer_file(), pieces=2000, window=window)
     for at in range(0, len(texts), 200):
         part = texts[at : at + 200]
         assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(part)] == [library.encode(t or "", add_special_tokens=False).ids for t in part]
