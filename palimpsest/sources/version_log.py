@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.versions import BEGIN, END, VERSION, marked, row_changes
+from palimpsest.operators.versions import BEGIN, END, IDENTITY, VERSION, marked, row_changes
 
 
 class VersionLog:
@@ -24,7 +24,7 @@ class VersionLog:
         """A new log of these versions."""
         name = uuid.uuid4().hex
         versions.select(*VERSION, *BEGIN, *END, *[c for c in versions.columns if c not in (*VERSION, *BEGIN, *END)]).write.parquet(f"{self.folder}/versions/part={name}")
-        versions.select(*VERSION, *END).limit(0).write.parquet(f"{self.folder}/marks/part={name}")
+        versions.select(*IDENTITY, *END).limit(0).write.parquet(f"{self.folder}/marks/part={name}")
         self._commit(name)
 
     def _commit(self, name: str) -> None:
@@ -43,5 +43,5 @@ class VersionLog:
         begun, ended = row_changes(self.read(), writes, xid, csn, payload)
         name = uuid.uuid4().hex
         begun.write.parquet(f"{self.folder}/versions/part={name}")
-        ended.select(*VERSION, *END).write.parquet(f"{self.folder}/marks/part={name}")
+        ended.select(*IDENTITY, *END).write.parquet(f"{self.folder}/marks/part={name}")
         self._commit(name)

@@ -8,9 +8,11 @@ from palimpsest.operators.scan import Key, scan, simplify
 from palimpsest.operators.sequences import Sequence
 from palimpsest.operators.transactions import Conflict, Relation
 from palimpsest.operators.versions import as_of, flashback
+from palimpsest.plans.catalogue import ORACLES, QUERIES
 from palimpsest.sources.version_log import VersionLog
 from palimpsest.streaming.cdc import with_schema_version
 from palimpsest.streaming.slots import Slot, emit_ready, stream
+from tests.compare import assert_same
 
 VERSION = "_rid long, _ver int, _begin_xid long, _begin_csn long, _begin_cid long, _end_xid long, _end_csn long, _end_cid long, x string"
 
@@ -119,6 +121,35 @@ def test_version_log(spark, tmp_path):
     assert shown(as_of(log.read())) == {0: "again", 1: "new", 9: "more"}
 
 
+def test_version_log_row_ids_in_use(spark, tmp_path):
+    """Inserts begin rows of their own at version 1, whatever their row ids had before; end marks hit only the versions that they were made for."""
+    log = VersionLog(spark, f"file://{tmp_path}/log")
+    log.create(relation(spark).versions)
+    writes = lambda *w: spark.createDataFrame(list(w), "_rid long, op string, _cid long, x string")
+    live = lambda: sorted((r["_rid"], r["_ver"], r["x"]) for r in as_of(log.read()).collect())
+    log.append(writes((0, "INSERT", 1, "a"), (1, "UPDATE", 0, "b"), (1, "INSERT", 1, "c"), (2, "DELETE", 0, None), (2, "INSERT", 1, "d")), 7, 5, ["x"])
+    assert live() == [(0, 1, "a"), (0, 1, "v0"), (1, 1, "c"), (1, 2, "b"), (2, 1, "d")]
+    log.append(writes((2, "DELETE", 0, None)), 8, 6, ["x"])
+    log.append(writes((2, "INSERT", 0, "e")), 9, 7, ["x"])
+    log.append(writes((2, "UPDATE", 0, "f")), 10, 8, ["x"])
+    assert live() == [(0, 1, "a"), (0, 1, "v0"), (1, 1, "c"), (1, 2, "b"), (2, 2, "f")]
+    assert log.read().where("_rid = 2").count() == 4 and {r["x"] for r in as_of(log.read(), 8).where("_rid = 2").collect()} == {"e"}
+
+
+def orders_in_use(spark, folder):
+    """Orders, written to folder, whose keys reach those that the queries' inserts take; returned as a pandas frame."""
+    ids = spark.range(60).unionByName(spark.range(999_990, 1_000_060))
+    status = F.element_at(F.array(*map(F.lit, "OFP")), (F.col("id") % 7 % 3 + 1).cast("int"))
+    orders = ids.select(F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"), status.alias("o_orderstatus"), (F.col("id") % 1000 + 0.5).cast("double").alias("o_totalprice"))
+    orders.write.parquet(f"{folder}/orders.parquet")
+    return orders.toPandas()
+
+
+def test_dml_append_row_ids_in_use(spark, tmp_path):
+    orders = orders_in_use(spark, tmp_path)
+    assert_same(QUERIES["dml_append"](spark, str(tmp_path)), ORACLES["dml_append"], tmp_path, orders=orders)
+
+
 def test_isolation_conflict_and_flashback(spark):
     r = relation(spark)
     fixed, fresh, writer = r.begin("transaction snapshot"), r.begin(), r.begin()
