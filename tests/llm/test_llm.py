@@ -164,6 +164,57 @@ def test_search_ties(spark):
     assert [r["doc_id"] for r in search.search(df, asked, k=9).orderBy("rank").collect()] == [1, 3, 5, 7, 9, None]
 
 
+def test_search_moves_once(spark):
+    """Index and queries are shuffled once, however many shards and slices meet; shards of a group hand on their best."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choices(WORDS, weights=[1 / (k + 1) for k in range(300)], k=rng.randint(0, 120)))) for i in range(600)]
+    docs += [(600 + i, docs[i][1]) for i in range(0, 600, 50)]
+    frame = pd.DataFrame(docs, columns=["doc_id", "text"])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    jvm = spark.sparkContext._jvm
+
+    def shuffled() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        stages = context.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    moved = []
+    for sizes in ({}, {"shard_bytes": 6000, "slice_bytes": 300}):
+        before = shuffled()
+        assert_same(search.search(df, df.where("doc_id % 50 = 0"), **sizes), search.OP3_SQL, documents=frame)
+        moved.append(shuffled() - before)
+    assert moved[1] < 3 * moved[0]
+    ties = spark.createDataFrame([(i, "same words here") for i in (5, 3, None, 9, 1, 7)] + [(100, "other")], "doc_id long, text string")
+    for k, want in ((3, [1, 3, 5]), (9, [1, 3, 5, 7, 9, None])):
+        assert [r["doc_id"] for r in search.search(ties, ties.where("doc_id = 5"), k=k, shard_bytes=10, slice_bytes=10).orderBy("rank").collect()] == want
+
+
+def test_search_order(spark):
+    """A task gives the same whatever the order of pieces, and none without all of them."""
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(i, f"a b{i % 3} c{i % 7}") for i in range(40)], "doc_id long, text string")
+    frequency = search.word_frequencies(df)
+    asked = [{"end": True, "query_id": r["query_id"], "query": r["query"], "word": bytes(r["word"]), "df": bytes(r["df"])} for r in search.asked_words(df.where("doc_id < 8"), frequency).collect()]
+    pieces = [{"end": r["name"] is None, "shard": r["shard"], "part": r["part"], "name": r["name"], "data": r["data"] and bytes(r["data"])} for r in search.build_index(df, 3).collect()]
+    rows = [p | q for p in pieces for q in (asked if p["end"] else [{}])]
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("data", pa.binary()), ("end", pa.bool_()), ("query_id", pa.int64()), ("query", pa.int64()), ("word", pa.binary()), ("df", pa.binary())])
+
+    def run(rows: list, size: int) -> list:
+        batches = pa.Table.from_pylist(rows, schema).to_batches(size)
+        return sorted(tuple(r.values()) for b in search.searched(40, 3.0, 5)(iter(batches)) for r in b.to_pylist())
+
+    want = run(rows, 1000)
+    assert len(want) == 40 and {r[2] for r in want if r[0] == 0} >= {0, 21}
+    mixed = random.Random(1).sample(rows, len(rows))
+    assert run(rows[::-1], 7) == want and run(sorted(mixed, key=lambda r: not r["end"]), 3) == want
+    assert run(sorted(mixed, key=lambda r: (r["end"], r["shard"] if r["end"] else 0)), 50) == want
+    with pytest.raises(RuntimeError, match="lack pieces"):
+        run(rows[1:], 50)
+
+
 def test_search_prunes():
     """Most postings aren't read, few documents are scored whole, and the results are those of brute force."""
     import pyarrow as pa
